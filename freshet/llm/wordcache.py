@@ -10,28 +10,44 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 
 #: White space that touches other white space, or is neither space nor newline.
 _GLUED = re.compile(r"\s\s|[^\S \n]")
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=[^\s.,])")
+#: A stop or comma that touches another sign, or follows white space or nothing.
+_SIGNS = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_|(?:\A|\s)[.,]")
 
 
 def split_bytelevel(text: str) -> list[str]:
     """Chunks of a text for byte-level vocabularies.
 
-    The first stands as it is.  Of the others, one that begins with a newline
-    stands as it is, and any other is preceded by a space.
+    The first stands as it is.  Of the others, one that begins with a newline, a
+    stop or a comma stands as it is, and any other is preceded by a space.  A
+    stop or comma next to letters or digits is always a piece of its own.
     """
-    if _GLUED.search(text):
+    if _GLUED.search(text) or _SIGNS.search(text):
         return _SINGLE_SPACE.split(text)
-    return text.replace("\n", " \n").split(" ")
+    return text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
 
 
 def bytelevel_surface(chunk: str) -> str:
-    return chunk if chunk[:1] == "\n" else " " + chunk
+    return chunk if chunk[:1] in ("\n", ".", ",") else " " + chunk
+
+
+def split_words(text: str) -> list[str]:
+    """Chunks of a text for vocabularies that drop white space.
+
+    These split runs of signs from letters and digits, so a stop or comma that stands
+    alone may be a chunk of its own.
+    """
+    text = text.replace("\n", " ")
+    if not _SIGNS.search(text):
+        text = text.replace(",", " ,").replace(".", " .")
+    return text.split(" ")
 
 
 class ChunkEncoder:
@@ -62,27 +78,33 @@ class ChunkEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
+        if len(self.kept) > self.limit:  # what is used again moves on, the rest goes
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
         chunks = [self.split(t) for t in texts]
         heads = [c[0] for c in chunks]  # encoded as they stand
-        tails = [c[1:] for c in chunks]
-        kept = self.kept
-        used = set(chain.from_iterable(tails))
-        if len(kept) > self.limit:  # what is used again moves on, the rest goes
-            self.older, self.kept = kept, {}
-            kept = self.kept
-        missing = [w for w in used if w not in kept]
-        older = self.older
+        found, gaps, missing = [], [], set()
+        for c in chunks:
+            del c[0]
+            ids = list(map(kept.get, c))
+            gap = list(compress(count(), map(not_, ids)))  # unknown, or known to have no ids
+            missing.update([c[i] for i in gap])
+            found.append(ids)
+            gaps.append(gap)
         new = []
         for w in missing:
-            ids = older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                kept[w] = ids
+            if w not in kept:
+                known = older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    kept[w] = known
         if new:
             kept.update(zip(new, self.encode_many([self.surface(w) for w in new]), strict=True))
-        first = self.encode_heads(heads)
-        out = [h + b"".join(map(kept.__getitem__, t)) for h, t in zip(first, tails, strict=True)]
+        for c, ids, gap in zip(chunks, found, gaps):
+            for i in gap:
+                ids[i] = kept[c[i]]
+        out = [h + b"".join(ids) for h, ids in zip(self.encode_heads(heads), found, strict=True)]
         for w in new:
             if len(w) > self.longest:
                 del kept[w]
@@ -114,6 +136,7 @@ def _joined(one_by_one, together, joinable, most: int = 4096):
         for i, s in enumerate(strings):
             if s:
                 (easy if joinable(s) else hard).append(i)
+        easy.sort(key=lambda i: strings[i][0] not in ".,")  # these must follow a letter or digit
         for start in range(0, len(easy), most):
             part = easy[start : start + most]
             for i, ids in zip(part, together([strings[i] for i in part]), strict=True):
@@ -152,7 +175,7 @@ def library_encoder(path: str, kind: str) -> ChunkEncoder:
         assert len(mark_id) == 1, "the mark between words must be one token"
 
         def together(strings: list[str]) -> list[bytes]:
-            ids = np.array(model.encode(f" {mark} ".join(strings), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(model.encode_batch_fast([f" {mark} ".join(strings)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == mark_id[0]).tolist() + [len(ids)]
             packed, start, out = ids.tobytes(), 0, []
             for end in ends:
@@ -162,18 +185,18 @@ def library_encoder(path: str, kind: str) -> ChunkEncoder:
 
         encoder = ChunkEncoder(
             _joined(one_by_one, together, lambda s: mark not in s),
-            split=lambda t: t.replace("\n", " ").split(" "),
+            split=split_words,
             surface=lambda w: w,
         )
     else:
         widths = np.zeros(model.get_vocab_size() + 1, dtype=np.int64)
         for token, i in model.get_vocab(with_added_tokens=False).items():
             widths[i] = len(token)  # one character for each byte
-        plain = re.compile(r"[ \n]\S+")
+        plain = re.compile(r"[ \n]\S+|[.,](?:\S*[^\W_])?(?<![.,])")
 
         def together(strings: list[str]) -> list[bytes]:
             text = "".join(strings)
-            ids = np.array(model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum([len(s.encode()) for s in strings])
             cuts = np.searchsorted(np.cumsum(widths[ids]), ends, side="left") + 1
             packed, start, out = ids.tobytes(), 0, []
