@@ -22,6 +22,7 @@ Contract
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 
@@ -66,16 +67,17 @@ class Transducer:
                 node = down[byte]
             self.token_at[node] = rank
         self.follows: dict[tuple[int, int], bool] = {}
+        self.split: dict[int, tuple[int, int] | None] = {}
         self.forget()
 
     def forget(self) -> None:
         start = ((-1, self.ROOT, ()),)
         self.number = {start: 0}
         self.states = [start]
-        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
         self.final: list[tuple[int, ...]] = [()]
 
-    def merged(self, piece: bytes) -> list[bytes]:
+    def merged(self, piece: bytes, stop_at: int = 1) -> list[bytes]:
         """The merge rule itself: join the pair of least rank, the leftmost first."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         rank = self.ranks.get
@@ -85,7 +87,7 @@ class Transducer:
             for i, r in enumerate(pairs):
                 if r is not None and (best is None or r < best):
                     best, at = r, i
-            if best is None:
+            if best is None or len(parts) == stop_at:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del pairs[at]
@@ -94,45 +96,78 @@ class Transducer:
             if at < len(pairs):
                 pairs[at] = rank(parts[at] + parts[at + 1])
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a byte, (-1, -1) if no merge makes it."""
+        if token not in self.split:
+            whole = self.bytes_of[token]
+            if len(whole) == 1:
+                self.split[token] = None
+            else:
+                parts = self.merged(whole, stop_at=2)
+                good = len(parts) == 2 and self.merged(whole) == [whole]
+                self.split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if good else (-1, -1)
+        return self.split[token]
+
     def may_follow(self, last: int, token: int) -> bool:
+        """Whether the merge rule leaves the two apart.
+
+        Their merges are undone from the last; at each point the parts that meet
+        at the border must not have a merge of lower rank than the one undone.
+        """
         known = self.follows.get((last, token))
-        if known is None:
-            right = self.bytes_of[token]
-            left = self.bytes_of[last] if last >= 0 else b""
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.follows) > 4_000_000:
-                self.follows.clear()
-            self.follows[last, token] = known
-        return known
+        if known is not None:
+            return known
+        good = self.halves(token) != (-1, -1)
+        left, right, limit = last, token, 1 << 62
+        bytes_of, rank = self.bytes_of, self.ranks.get
+        while good and last >= 0:
+            joined = rank(bytes_of[left] + bytes_of[right])
+            if joined is not None and joined < limit:
+                good = False
+                break
+            if left > right:
+                parts = self.halves(left)
+                if parts is None:
+                    break
+                left, limit = parts[1], left
+            else:
+                parts = self.halves(right)
+                if parts is None:
+                    break
+                right, limit = parts[0], right + 1
+        if len(self.follows) > 4_000_000:
+            self.follows.clear()
+        self.follows[last, token] = good
+        return good
 
     def advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the deterministic step from a state by a byte."""
         alive, complete = [], None
+        child, token_at = self.child, self.token_at
         for last, node, pending in self.states[state]:
-            down = self.child[node].get(byte)
+            down = child[node].get(byte)
             if down is None:
                 continue
-            token = self.token_at.get(down)
-            if complete is None and token is not None and self.may_follow(last, token):
-                complete = (token, self.ROOT, (*pending, token))
-            if self.child[down]:
+            if complete is None:
+                token = token_at.get(down)
+                if token is not None and self.may_follow(last, token):
+                    complete = (token, self.ROOT, (*pending, token))
+            if child[down]:
                 alive.append((last, down, pending))
         if complete is None:
             raise ValueError("the vocabulary lacks a byte or its merges are not consistent")
         alive.append(complete)
-        agreed = 0
-        first = min((p for _, _, p in alive), key=len)
-        while agreed < len(first) and all(p[agreed] == first[agreed] for _, _, p in alive):
+        agreed, first = 0, alive[0][2]
+        while agreed < len(first) and all(len(p) > agreed and p[agreed] == first[agreed] for _, _, p in alive):
             agreed += 1
         emitted = first[:agreed]
-        key = tuple((last, node, pending[agreed:]) for last, node, pending in alive)
+        key = tuple((last, node, pending[agreed:]) for last, node, pending in alive) if agreed else tuple(alive)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            self.step.append({})
             self.final.append(key[-1][2])
         move = (self.number[key], emitted)
-        self.step[state][byte] = move
+        self.step[256 * state + byte] = move
         return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -145,7 +180,7 @@ class Transducer:
         out: list[int] = []
         state, step = 0, self.step
         for byte in piece:
-            move = step[state].get(byte)
+            move = step.get(256 * state + byte)
             state, emitted = move if move is not None else self.advance(state, byte)
             if emitted:
                 out += emitted
@@ -200,6 +235,8 @@ def worker_encoder(path: str) -> ChunkEncoder:
             piece = machine.encode_piece
             return [array("I", [i for p in pieces(s) for i in piece(p.encode())]).tobytes() for s in strings]
 
+        gc.freeze()  # the tables stay; states are tuples without cycles
+        gc.set_threshold(200_000, 20, 100)
         _MADE[path] = machine, ChunkEncoder(encode_many)
     return _MADE[path][1]
 
