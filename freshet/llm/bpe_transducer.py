@@ -205,7 +205,7 @@ class Utf8Stream:
             byte = data[-back]
             if byte & 0xC0 == 0x80:
                 continue
-            need = 4 if byte >= 0xF0 else 3 if byte >= 0xE0 else 2 if byte >= 0xC0 else 1
+            need = 1 if byte >= 0xF8 else 4 if byte >= 0xF0 else 3 if byte >= 0xE0 else 2 if byte >= 0xC0 else 1
             return back if need > back else 0
         return 0
 
