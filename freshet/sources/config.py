@@ -43,9 +43,9 @@ class Config:
         """Keys are matched without regard to case; the first line with a value wins."""
         found: dict[str, str] = {}
         for line in lines:
-            key, _, value = line.strip().partition(" ")
-            if value.strip():
-                found.setdefault(key.lower(), value.strip())
+            parts = line.strip().split(None, 1)
+            if len(parts) == 2:
+                found.setdefault(parts[0].lower(), parts[1])
         out = cls()
         for f in fields(cls):
             if (value := found.get(f.name)) is not None:

@@ -1,12 +1,12 @@
-"""GeoTIFF rasters: one band, strips, uncompressed or deflated.
+"""GeoTIFF rasters: band 1, in strips or tiles, uncompressed or deflated.
 
-Files are read through ``binaryFile`` and decoded in the executors to cells; a raster is
-written as one file on the driver's side of a bounded grid, while large grids
-are kept as Parquet tables of cells.
+Files are read through ``binaryFile`` and decoded in the executors to cells.  A raster is
+written as one file: executors encode strips of rows, which the driver only strings together.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,19 +14,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from freshet.operators.components import written
 
 #: Tag numbers and field types of the format (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS, COUNTS, FORMAT, SCALE, TIEPOINT, TRANSFORM, CITATION = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 34264, 34737
+SAMPLES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 277, 284, 317, 322, 323, 324, 325
+PROJECTION = (34735, 34736, 34737)
 SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
-def decode(data: bytes) -> tuple[np.ndarray, tuple[float, ...]]:
-    """Band 1 and the geotransform (x0, dx, 0, y0, 0, dy)."""
+def read_tags(data: bytes) -> tuple[str, dict[int, tuple[int, tuple]]]:
+    """Byte order, and of each tag its field type and values."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     (at,) = struct.unpack_from(order + "I", data, 4)
     (n,) = struct.unpack_from(order + "H", data, at)
-    tags: dict[int, tuple] = {}
+    tags = {}
     for i in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
         if kind not in SIZES:
@@ -35,40 +40,144 @@ def decode(data: bytes) -> tuple[np.ndarray, tuple[float, ...]]:
         place = at + 10 + 12 * i
         if struct.calcsize(form) > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = struct.unpack_from(form, data, place)
-    cols, rows = tags[WIDTH][0], tags[HEIGHT][0]
-    packed = tags.get(COMPRESSION, (1,))[0]
-    if packed not in (1, 8, 32946) or OFFSETS not in tags:
-        raise ValueError("only uncompressed or deflated strips are read")
-    strips = [data[o : o + c] for o, c in zip(tags[OFFSETS], tags[COUNTS])]
-    raw = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-    kind = order + KINDS[tags.get(FORMAT, (1,))[0], tags[BITS][0]]
+        tags[tag] = kind, struct.unpack_from(form, data, place)
+    return order, tags
+
+
+def transform_of(tags: dict[int, tuple[int, tuple]]) -> tuple[float, ...]:
+    """The geotransform (x0, dx, 0, y0, 0, dy)."""
     if TRANSFORM in tags:
-        m = tags[TRANSFORM]
+        m = tags[TRANSFORM][1]
         if m[1] or m[4]:
             raise ValueError("rotated rasters are not read")
-        place = (m[3], m[0], 0.0, m[7], 0.0, m[5])
-    else:
-        dx, dy = tags.get(SCALE, (1.0, 1.0))[:2]
-        i, j, _, x, y, _ = tags.get(TIEPOINT, (0.0,) * 6)
-        place = (x - i * dx, dx, 0.0, y + j * dy, 0.0, -dy)
-    return np.frombuffer(raw, kind, rows * cols).reshape(rows, cols), place
+        return (m[3], m[0], 0.0, m[7], 0.0, m[5])
+    dx, dy = tags.get(SCALE, (12, (1.0, 1.0)))[1][:2]
+    i, j, _, x, y, _ = tags.get(TIEPOINT, (12, (0.0,) * 6))[1]
+    return (x - i * dx, dx, 0.0, y + j * dy, 0.0, -dy)
+
+
+def decode(data: bytes) -> tuple[np.ndarray, tuple[float, ...]]:
+    """Band 1 and the geotransform."""
+    order, tags = read_tags(data)
+    one = lambda tag, default: tags.get(tag, (0, (default,)))[1][0]
+    cols, rows, packed, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    tiled = TILE_OFFSETS in tags
+    if packed not in (1, 8, 32946) or predictor not in (1, 2) or not (tiled or OFFSETS in tags):
+        raise ValueError("only uncompressed or deflated strips and tiles are read")
+    kind = np.dtype(KINDS[one(FORMAT, 1), one(BITS, 1)]).newbyteorder(order)
+    offsets, counts = (tags[t][1] for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (OFFSETS, COUNTS)))
+    high, wide = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS, rows), rows), cols)
+    depth = one(SAMPLES, 1) if one(PLANAR, 1) == 1 else 1
+    across = -(-cols // wide)
+    grid = np.empty((rows, cols), kind)
+    for i in range(across * -(-rows // high)):
+        r, c = i // across * high, i % across * wide
+        block = data[offsets[i] : offsets[i] + counts[i]]
+        block = zlib.decompress(block) if packed != 1 else block
+        n = high if tiled else min(high, rows - r)
+        block = np.frombuffer(block, kind, n * wide * depth).reshape(n, wide, depth)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+        part = grid[r : r + high, c : c + wide]
+        part[...] = block[: part.shape[0], : part.shape[1], 0]
+    return grid, transform_of(tags)
+
+
+def file_head(shape: tuple[int, int], kind: np.dtype, transform: tuple[float, ...], strip_rows: int, sizes: list[int], deflate: bool, projection: dict[int, tuple[int, tuple]]) -> bytes:
+    """All that stands before the strips, whose packed sizes are given."""
+    form = {"i": 2, "u": 1, "f": 3}[kind.kind]
+    fields = {
+        WIDTH: (4, (shape[1],)), HEIGHT: (4, (shape[0],)), BITS: (3, (kind.itemsize * 8,)), COMPRESSION: (3, (8 if deflate else 1,)), 262: (3, (1,)),
+        OFFSETS: (4, (0,) * len(sizes)), SAMPLES: (3, (1,)), ROWS: (4, (strip_rows,)), COUNTS: (4, tuple(sizes)), FORMAT: (3, (form,)),
+        SCALE: (12, (transform[1], -transform[5], 0.0)), TIEPOINT: (12, (0.0, 0.0, 0.0, transform[0], transform[3], 0.0)), **projection,
+    }
+
+    def values(tag: int) -> bytes:
+        code, own = fields[tag]
+        data = own[0] if code == 2 else struct.pack("<" + SIZES[code] * len(own), *own)
+        return data + b"\0" * (len(data) % 2)
+
+    extra = 8 + 2 + 12 * len(fields) + 4
+    first = extra + sum(len(v) for v in map(values, fields) if len(v) > 4)
+    ends = np.cumsum([first, *sizes])
+    if ends[-1] >= 2**32:
+        raise ValueError("a GeoTIFF file holds 4 GB at most; keep such grids as tables of cells")
+    fields[OFFSETS] = (4, tuple(ends[:-1].tolist()))
+    entries, more = b"", b""
+    for tag in sorted(fields):
+        code, own = fields[tag]
+        data = values(tag)
+        entries += struct.pack("<HHI", tag, code, len(own[0]) if code == 2 else len(own))
+        entries += struct.pack("<I", extra + len(more)) if len(data) > 4 else data.ljust(4, b"\0")
+        more += data if len(data) > 4 else b""
+    return struct.pack("<2sHIH", b"II", 42, 8, len(fields)) + entries + struct.pack("<I", 0) + more
 
 
 def encode(grid: np.ndarray, transform: tuple[float, ...], deflate: bool = True) -> bytes:
-    """A GeoTIFF of an int32, float32 or float64 grid in one strip."""
+    """A GeoTIFF of a grid in one strip."""
     grid = np.ascontiguousarray(grid, grid.dtype.newbyteorder("<"))
-    form = {"i": 2, "u": 1, "f": 3}[grid.dtype.kind]
     strip = zlib.compress(grid.tobytes()) if deflate else grid.tobytes()
-    doubles = struct.pack("<3d", transform[1], -transform[5], 0.0) + struct.pack("<6d", 0, 0, 0, transform[0], transform[3], 0)
-    head = 8 + len(doubles)
-    entries = [
-        (WIDTH, 4, 1, grid.shape[1]), (HEIGHT, 4, 1, grid.shape[0]), (BITS, 3, 1, grid.dtype.itemsize * 8), (COMPRESSION, 3, 1, 8 if deflate else 1), (262, 3, 1, 1),
-        (OFFSETS, 4, 1, head), (277, 3, 1, 1), (ROWS, 4, 1, grid.shape[0]), (COUNTS, 4, 1, len(strip)), (FORMAT, 3, 1, form), (SCALE, 12, 3, 8), (TIEPOINT, 12, 6, 32),
-    ]
-    pad = b"\0" * ((head + len(strip)) % 2)
-    body = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, head + len(strip) + len(pad)) + doubles + strip + pad + body
+    return file_head(grid.shape, grid.dtype, transform, grid.shape[0], [len(strip)], deflate, {}) + strip
+
+
+def open_output(path: str):
+    """A stream to a local path or a URI."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    return store.open_output_stream(inner, compression=None)
+
+
+def details(spark: SparkSession, path: str) -> tuple[tuple[int, int], tuple[float, ...], dict[int, tuple[int, tuple]]]:
+    """Rows and columns, geotransform, and projection tags of one raster; its cells aren't sent to the driver."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                _, tags = read_tags(data)
+                yield pd.DataFrame({"tags": [repr({t: tags[t] for t in (WIDTH, HEIGHT, SCALE, TIEPOINT, TRANSFORM, *PROJECTION) if t in tags})]})
+
+    import ast
+
+    tags = ast.literal_eval(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "tags string").first().tags)
+    return (tags[HEIGHT][1][0], tags[WIDTH][1][0]), transform_of(tags), {t: tags[t] for t in PROJECTION if t in tags}
+
+
+def list_rasters(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, length)`` of the ``.tif`` and ``.img`` files of a folder; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,img}").load(folder).select("path", "length")
+
+
+def write_raster(cells: DataFrame, path: str, shape: tuple[int, int], kind: str, transform: tuple[float, ...], projection: dict | None = None, fill: float = 0.0, strip_rows: int = 256) -> None:
+    """Write ``(r, c, v)`` as one GeoTIFF; cells that are absent or null hold ``fill``."""
+    rows, cols = shape
+    kept = np.dtype(kind).newbyteorder("<")
+
+    def packed(strip: int, own: pd.DataFrame | None = None) -> bytes:
+        grid = np.full((min(strip_rows, rows - strip * strip_rows), cols), fill, kept)
+        if own is not None:
+            grid[own["r"].to_numpy() - strip * strip_rows, own["c"].to_numpy()] = own["v"].to_numpy()
+        return zlib.compress(grid.tobytes())
+
+    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+        data = packed(int(key[0]), own)
+        return pd.DataFrame({"strip": [int(key[0])], "size": [len(data)], "data": [data]})
+
+    own = cells.where(f"v IS NOT NULL AND r BETWEEN 0 AND {rows - 1} AND c BETWEEN 0 AND {cols - 1}").select(F.floor(F.col("r") / strip_rows).alias("strip"), "r", "c", F.col("v").cast("double").alias("v"))
+    strips = written(own.groupBy("strip").applyInPandas(run, "strip long, size long, data binary"), "strips")
+    sizes = {x.strip: x.size for x in strips.select("strip", "size").collect()}  # a row for each strip of rows
+    every = range(-(-rows // strip_rows))
+    blank = {len_: packed(s) for s in {0, every[-1]} for len_ in [min(strip_rows, rows - s * strip_rows)]}
+    blank_of = lambda s: blank[min(strip_rows, rows - s * strip_rows)]
+    with open_output(path) as out:
+        out.write(file_head(shape, kept, transform, strip_rows, [sizes.get(s) or len(blank_of(s)) for s in every], True, projection or {}))
+        at = 0
+        for x in strips.orderBy("strip").toLocalIterator():
+            for s in range(at, x.strip):
+                out.write(blank_of(s))
+            out.write(bytes(x.data))
+            at = x.strip + 1
+        for s in range(at, len(every)):
+            out.write(blank_of(s))
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
