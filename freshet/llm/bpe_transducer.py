@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 import gc
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +36,9 @@ from .wordcache import ChunkEncoder, groups_by_size
 #: How the public vocabularies used here pre-split a text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Rows whose texts are held as Python strings at a time.
+SLICE_ROWS = 1000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file of lines ``base64 rank``."""
@@ -46,14 +49,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Lazily determinised transducer of one vocabulary.
 
-    ``max_states`` bounds the states held; beyond it they are forgotten and made
-    again as needed.
+    ``max_states`` bounds the states held; beyond it the later half is forgotten and
+    made again as needed.  The first states reached are those of common prefixes.
+    ``max_pairs`` bounds the answers kept on pairs of tokens.
     """
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 400_000):
+        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
         self.token_at: dict[int, int] = {}
@@ -68,15 +72,19 @@ class Transducer:
             self.token_at[node] = rank
         self.follows: dict[tuple[int, int], bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.forget()
-
-    def forget(self) -> None:
         start = ((-1, self.ROOT, ()),)
         self.number = {start: 0}
         self.states = [start]
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
         self.final: list[tuple[int, ...]] = [()]
 
+    def forget(self) -> None:
+        kept = max(1, self.max_states // 2)
+        for state in self.states[kept:]:
+            del self.number[state]
+        del self.states[kept:], self.final[kept:]
+        self.step = {k: move for k, move in self.step.items() if k < 256 * kept and move[0] < kept}
+
     def merged(self, piece: bytes, stop_at: int = 1) -> list[bytes]:
         """The merge rule itself: join the pair of least rank, the leftmost first."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -135,7 +143,7 @@ class Transducer:
                 if parts is None:
                     break
                 right, limit = parts[0], right + 1
-        if len(self.follows) > 4_000_000:
+        if len(self.follows) >= self.max_pairs:
             self.follows.clear()
         self.follows[last, token] = good
         return good
@@ -241,24 +249,48 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return _MADE[path][1]
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+    """``(key, ids)`` of batches ``(key, text)``."""
+    encoder = worker_encoder(ranks_path)
+    for batch in batches:
+        at, rows = 0, len(batch)
+        while at < rows:
+            # a slice at a time: the texts of a whole batch needn't be held twice
+            for part in groups_by_size([t or "" for t in batch.column(1).slice(at, SLICE_ROWS).to_pylist()], 500_000):
+                ids = encoder.batch(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary())], ["key", "ids"])
+                at += len(part)
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Token ids of every text: ``(<id>, ids binary)``, ids as little-endian unsigned 32-bit integers.
 
-    No shuffle; memory is bounded by an Arrow batch and the chunk cache.
+    No shuffle; memory is bounded by an Arrow batch, the chunk cache and the states.
     """
     narrow = only(docs, key=id_column, text=text_column)
     schema = f"key {narrow.schema['key'].dataType.simpleString()}, ids binary"
+    return narrow.mapInArrow(lambda batches: encoded_batches(batches, ranks_path), schema).withColumnRenamed("key", id_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(ranks_path)
-        for batch in batches:
-            at = 0
-            for part in groups_by_size([t or "" for t in batch.column(1).to_pylist()]):
-                ids = encoder.batch(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary())], ["key", "ids"])
-                at += len(part)
 
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", id_column)
+def decoder(ranks_path: str, as_bytes: bool = False, block: int = 65536) -> Callable[[bytes | None], str]:
+    """A function from packed ids to their text; with ``as_bytes`` bad bytes become surrogates."""
+    table = {i: b for b, i in read_ranks(ranks_path).items()}
+    of = [table[i] for i in range(len(table))] if sorted(table) == list(range(len(table))) else table
+    errors = "surrogateescape" if as_bytes else "replace"
+
+    def text(packed: bytes | None) -> str:
+        ids = array("I", packed or b"")
+        stream = Utf8Stream(errors)
+        parts = [stream.feed(b"".join(map(of.__getitem__, ids[i : i + block]))) for i in range(0, len(ids), block)]
+        return "".join([*parts, stream.close()])
+
+    return text
+
+
+def decoded_array(texts: Iterable[str], as_bytes: bool) -> pa.Array:
+    if as_bytes:
+        return pa.array([t.encode("utf-8", "surrogateescape") for t in texts], pa.binary())
+    return pa.array(list(texts), pa.string())
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_column: str = "doc_id", ids_column: str = "ids", as_bytes: bool = False, block: int = 65536) -> DataFrame:
@@ -267,32 +299,34 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_column: str = "doc_id", i
     out = "data binary" if as_bytes else "text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: b for b, i in read_ranks(ranks_path).items()}
-        of = [table[i] for i in range(len(table))] if sorted(table) == list(range(len(table))) else table
-        errors = "surrogateescape" if as_bytes else "replace"
-
-        def text(packed: bytes | None) -> str:
-            ids = array("I", packed or b"")
-            stream = Utf8Stream(errors)
-            parts = [stream.feed(b"".join(map(of.__getitem__, ids[i : i + block]))) for i in range(0, len(ids), block)]
-            return "".join([*parts, stream.close()])
-
+        text = decoder(ranks_path, as_bytes, block)
         for batch in batches:
-            texts = (text(x) for x in batch.column(1).to_pylist())
-            data = pa.array([t.encode("utf-8", errors) for t in texts], pa.binary()) if as_bytes else pa.array(list(texts), pa.string())
+            data = decoded_array(map(text, batch.column(1).to_pylist()), as_bytes)
             yield pa.RecordBatch.from_arrays([batch.column(0), data], ["key", out.split()[0]])
 
     return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, {out}").withColumnRenamed("key", id_column)
 
 
+def bpe_round_trip(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(<id>, ids binary, data binary)``: ``bpe_encode``, and ``bpe_decode`` as bytes of its ids.
+
+    Both run in one Python worker, so the ids don't travel to a second one.
+    """
+    narrow = only(docs, key=id_column, text=text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = decoder(ranks_path, as_bytes=True)
+        for batch in encoded_batches(batches, ranks_path):
+            data = decoded_array(map(text, batch.column(1).to_pylist()), as_bytes=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, data], ["key", "ids", "data"])
+
+    schema = f"key {narrow.schema['key'].dataType.simpleString()}, ids binary, data binary"
+    return narrow.mapInArrow(run, schema).withColumnRenamed("key", id_column)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of ids and of decoded bytes of every document."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_encode(documents(spark, sf_dir), path)
-    with_digest = encoded.select(
-        F.struct("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")).alias("row"), "ids"
-    )
-    decoded = bpe_decode(with_digest, path, id_column="row", as_bytes=True)
-    return decoded.select("row.doc_id", "row.n_tokens", "row.ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+    out = bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
