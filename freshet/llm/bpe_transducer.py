@@ -56,7 +56,7 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 400_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
