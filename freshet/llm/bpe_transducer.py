@@ -78,12 +78,19 @@ class Transducer:
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
         self.final: list[tuple[int, ...]] = [()]
 
-    def forget(self) -> None:
+    def forget(self, state: int = 0) -> int:
+        """Forget the later half of the states but for ``state``, whose new number is returned."""
+        key = self.states[state]
         kept = max(1, self.max_states // 2)
         for state in self.states[kept:]:
             del self.number[state]
         del self.states[kept:], self.final[kept:]
         self.step = {k: move for k, move in self.step.items() if k < 256 * kept and move[0] < kept}
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+            self.final.append(key[-1][2])
+        return self.number[key]
 
     def merged(self, piece: bytes, stop_at: int = 1) -> list[bytes]:
         """The merge rule itself: join the pair of least rank, the leftmost first."""
@@ -183,15 +190,17 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self.forget()
         out: list[int] = []
-        state, step = 0, self.step
-        for byte in piece:
-            move = step.get(256 * state + byte)
-            state, emitted = move if move is not None else self.advance(state, byte)
-            if emitted:
-                out += emitted
+        state = 0
+        for at in range(0, len(piece), 65536):
+            if len(self.states) > self.max_states:
+                state = self.forget(state)
+            step = self.step
+            for byte in piece[at : at + 65536]:
+                move = step.get(256 * state + byte)
+                state, emitted = move if move is not None else self.advance(state, byte)
+                if emitted:
+                    out += emitted
         out += self.final[state]
         return out
 

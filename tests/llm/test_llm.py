@@ -52,6 +52,16 @@ def test_bpe_matches_library_and_round_trips(spark, odd):
     assert bpe_transducer.bpe_encode(none(spark), path).count() == 0
 
 
+def test_bpe_round_trip_is_encode_and_decode(spark, odd):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = odd.unionByName(odd)
+    both = bpe_transducer.bpe_round_trip(docs, path)
+    assert both.columns == ["doc_id", "ids", "data"]
+    assert sorted(map(str, both.select("doc_id", "ids").collect())) == sorted(map(str, bpe_transducer.bpe_encode(docs, path).collect()))
+    assert sorted(bytes(r.data) for r in both.collect()) == sorted((r.text or "").encode() for r in docs.collect())
+    assert bpe_transducer.bpe_round_trip(none(spark), path).count() == 0
+
+
 def test_transducer_on_random_pieces():
     import tiktoken
 
@@ -61,6 +71,9 @@ def test_transducer_on_random_pieces():
     for _ in range(1500):
         piece = b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 6)))
         assert machine.encode_piece(piece) == library._core_bpe.encode_single_piece(piece)
+    piece = b"".join(rng.choice(tokens) for _ in range(30_000))  # states are forgotten within it
+    assert len(piece) > 2 * 65536
+    assert machine.encode_piece(piece) == library._core_bpe.encode_single_piece(piece)
 
 
 def test_utf8_stream_holds_unfinished_characters():
