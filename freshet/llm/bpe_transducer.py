@@ -56,7 +56,7 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pairs: int = 400_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
@@ -269,6 +269,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Itera
                 ids = encoder.batch(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary())], ["key", "ids"])
                 at += len(part)
+        pa.default_memory_pool().release_unused()
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
