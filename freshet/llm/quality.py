@@ -4,10 +4,10 @@ Lines are normalised (case and white space) and hashed.  For each host the
 distinct documents that hold a line are counted, lines in more documents than the limit
 are removed, and a document is rejected when too little of it is left.
 
-Copies of one document are not distinct documents: a document is known to a line by
-the least hash among its *other* lines, so thousands of exact copies count once, and near
-copies a few times, while real boilerplate stands in documents that differ
-otherwise.  Taking copies out is left to the near-duplicate operators.
+Exact copies of one document are not distinct documents.  ``clean_lines`` knows a document
+by the hash of its text.  ``line_quality`` keeps the rule of its SQL: a document is known to a line by
+the least hash among its *other* lines, which counts too few where documents
+share several lines.  Taking copies out is left to the near-duplicate operators.
 
 Contract
 --------
@@ -104,9 +104,9 @@ def base_columns(text: Column) -> dict[str, Column]:
     return {"stats": stats, "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"), "n_dup_lines": dup}
 
 
-def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
+def frequent_lines(lines: DataFrame, max_documents: int, known_by: str = "other") -> DataFrame:
     """``(host, h)`` of the lines that stand in more distinct documents of a host than the limit."""
-    return lines.groupBy("host", "h").agg(F.count_distinct("other").alias("n")).where(F.col("n") > max_documents).select("host", "h")
+    return lines.groupBy("host", "h").agg(F.count_distinct(known_by).alias("n")).where(F.col("n") > max_documents).select("host", "h")
 
 
 def line_rows(keyed: DataFrame) -> DataFrame:
@@ -127,14 +127,14 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str, host_column: str)
     return rows.select("key", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("host", F.lit("")).alias("host")).withColumn("mark", F.xxhash64("text", "host"))
 
 
-def removed_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
+def removed_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", known_by: str = "other") -> DataFrame:
     """``(key, mark, removed_words, removed)`` of the documents that lose lines.
 
     ``removed`` holds the hashes of the lines.  Documents are known by key and a hash of
     their contents, so repeated rows share one row here.
     """
     lines = line_rows(_keyed(docs, id_column, text_column, host_column))
-    flagged = frequent_lines(lines, max_documents).withColumn("out", F.lit(True))
+    flagged = frequent_lines(lines, max_documents, known_by).withColumn("out", F.lit(True))
     joined = lines.join(flagged, ["host", "h"], "left")
     return (
         joined.groupBy("key", "mark")
@@ -169,7 +169,7 @@ def line_quality(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, least_left
 def clean_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, least_left: float = LEAST_LEFT, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """The documents that are kept, with all their columns, their texts without the removed lines."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    lost = removed_lines(docs, max_documents, id_column, text_column, host_column).select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), "removed_words", F.col("removed").alias("__removed"))
+    lost = removed_lines(docs, max_documents, id_column, text_column, host_column, known_by="mark").select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), "removed_words", F.col("removed").alias("__removed"))
     marked = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text, F.coalesce(F.col(host_column), F.lit(""))).alias("mark"), *[c.alias(n) for n, c in base_columns(text).items()])
     marked = marked.select("doc", "mark", "stats.*", "n_symbols", "n_dup_lines")
     joined = marked.join(lost, marked["doc"][id_column].eqNullSafe(lost["__key"]) & (marked["mark"] == lost["__mark"]), "left")
