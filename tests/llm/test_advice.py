@@ -11,6 +11,13 @@ def texts(spark, rows):
     return {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
 
 
+def test_copies_of_a_page_count_once(spark):
+    rows = [(i, f"http://b.example/{i}", f"<nav>{i}</nav><div class=story><p>One and the same</p></div>") for i in range(6)]
+    rows += [(10 + i, f"http://c.example/{i}", "<article><p>Copied</p></article>") for i in range(6)]
+    got = texts(spark, rows)
+    assert all(got[i] == "One and the same" and got[10 + i] == "Copied" for i in range(6))
+
+
 def test_lines_shared_with_other_shared_lines(spark):
     shared = [f"shared line number {k} of this host" for k in range(10)]
     rows = [(i, "\n".join([*shared, " ".join(f"own{i}x{j}" for j in range(60))]), "hot") for i in range(100)]
