@@ -11,6 +11,13 @@ def texts(spark, rows):
     return {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
 
 
+def test_pages_without_an_article_beside_pages_with_one(spark):
+    rows = [(i, None, f"<article><p>Article {i}</p></article><div class=foot>F{i}</div>") for i in range(4)]
+    rows += [(10 + i, None, f"<div class=story><p>Story {i}</p></div>") for i in range(4)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Article {i}" and got[10 + i] == f"Story {i}" for i in range(4))
+
+
 def test_copies_of_a_page_count_once(spark):
     rows = [(i, f"http://b.example/{i}", f"<nav>{i}</nav><div class=story><p>One and the same</p></div>") for i in range(6)]
     rows += [(10 + i, f"http://c.example/{i}", "<article><p>Copied</p></article>") for i in range(6)]
