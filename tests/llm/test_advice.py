@@ -11,6 +11,12 @@ def texts(spark, rows):
     return {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
 
 
+def test_constant_nodes_within_an_article_are_template(spark):
+    page = "<nav>{n}</nav><article><h1>T{n}</h1><div class=box>Read our paper</div><p>Words {n}</p></article>"
+    got = texts(spark, [(i, f"http://a.example/{i}", page.format(n=i)) for i in range(5)])
+    assert all(got[i] == f"T{i}\nWords {i}" for i in range(5))
+
+
 def test_pages_without_an_article_beside_pages_with_one(spark):
     rows = [(i, None, f"<article><p>Article {i}</p></article><div class=foot>F{i}</div>") for i in range(4)]
     rows += [(10 + i, None, f"<div class=story><p>Story {i}</p></div>") for i in range(4)]
