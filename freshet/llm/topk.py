@@ -122,7 +122,7 @@ def search(tree: BallTree, keys: np.ndarray, uids: np.ndarray, q: np.ndarray, q_
                 gain = ((score >= np.maximum(floor[rows], best.score[rows, -1])[:, None]) & ~own).any(axis=1)
                 if gain.any():
                     shown = np.where(own, -1, np.broadcast_to(uid, own.shape))[gain]
-                    best.offer(rows[gain], score[gain], key, shown)
+                    best.offer(rows[gain], np.where(own, LOW, score)[gain], key, shown)
             return
         nearer = bound(left, rows) >= bound(right, rows)
         visit(left, rows[nearer])

@@ -39,3 +39,15 @@ def test_lines_shared_with_other_shared_lines(spark):
     got = {r.doc_id: r.text for r in quality.clean_lines(docs).collect()}
     assert len(got) == 140 and not any("shared" in t for t in got.values())
     assert all(got[1000 + i].count("\n") == 3 for i in range(40))  # exact copies count once
+
+
+def test_topk_of_exactly_k_rows_in_a_shard(spark):
+    x = np.random.default_rng(3).normal(size=(20, 4)) + 0.5
+    whole = np.floor(x * 64).astype(int)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, "key % 5 = 0").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 5, 10, 15):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(20) if i != q)
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
