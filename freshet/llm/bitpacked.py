@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, filesystem, new_folder, only, publish
-from .wordcache import groups_by_size, library_encoder
+from .shared import documents, filesystem, groups_by_size, new_folder, only, publish
+from .tokenise import encoder_of
 
 MAGIC = b"FRBP0001"
 HEADER = struct.Struct("<5Q")
@@ -127,7 +127,7 @@ class BitFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, kind: str = "words", id_column: str = "doc_id", text_column: str = "text") -> list[tuple[str, int, int]]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, id_column: str = "doc_id", text_column: str = "text") -> list[tuple[str, int, int]]:
     """Encode and write; returns (path, documents, ids) of each file in the order of keys.
 
     One range shuffle by key; a file is a partition, written under a name of its
@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.tokens"
-        encoder = library_encoder(tokenizer_path, kind)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         batch = next(batches, None)
         while batch is not None and not batch.num_rows:

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, only
-from .wordcache import ChunkEncoder, groups_by_size
+from .shared import documents, groups_by_size, only
+from .wordcache import ChunkEncoder
 
 #: How the public vocabularies used here pre-split a text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, only, staged
-from .wordcache import groups_by_size, ids_of, library_encoder
+from .shared import documents, groups_by_size, only, staged
+from .tokenise import encoder_of
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -40,14 +40,14 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first), *[(s, most) for s in range(first, n, most)]] if n else []
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024, kind: str = "bytelevel", id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of every document: ``(key, piece, start, length, ids_crc32[, ids binary])``."""
     narrow = only(docs, key=id_column, text=text_column)
     schema = f"key {narrow.schema['key'].dataType.simpleString()}, {PIECES}" + ", ids binary" * with_ids
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer_path, kind)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             at = 0
             for part in groups_by_size([t or "" for t in batch.column(1).to_pylist()]):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; any others are left out."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def groups_by_size(texts: list[str], most_chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Slices of a list that hold about ``most_chars`` characters each."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most_chars:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]

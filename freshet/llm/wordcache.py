@@ -1,9 +1,8 @@
 """Exact tokenisation of whole texts by way of a cache of space-delimited chunks.
 
-Both kinds of vocabulary used here pre-split a text so that a split always lies
-before a single space between two characters that are not white space.  A text
-is therefore the concatenation of chunks that can be encoded one by one, and
-most chunks repeat.  Chunks are kept as packed unsigned 32-bit ids.
+Byte-level vocabularies pre-split a text so that a split always lies before a single
+space between two characters that are not white space.  A text is therefore the
+concatenation of chunks that can be encoded one by one, and most chunks repeat.  Chunks are kept as packed unsigned 32-bit ids.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from collections.abc import Callable, Iterable
 from itertools import compress, count
 from operator import not_
 
-import numpy as np
-
 #: White space that touches other white space, or is neither space nor newline.
 _GLUED = re.compile(r"\s\s|[^\S \n]")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=[^\s.,])")
@@ -38,18 +35,6 @@ def bytelevel_surface(chunk: str) -> str:
     return chunk if chunk[:1] in ("\n", ".", ",") else " " + chunk
 
 
-def split_words(text: str) -> list[str]:
-    """Chunks of a text for vocabularies that drop white space.
-
-    These split runs of signs from letters and digits, so a stop or comma that stands
-    alone may be a chunk of its own.
-    """
-    text = text.replace("\n", " ")
-    if not _SIGNS.search(text):
-        text = text.replace(",", " ,").replace(".", " .")
-    return text.split(" ")
-
-
 class ChunkEncoder:
     """Encodes batches of texts; ``encode_many`` encodes a list of strings.
 
@@ -109,102 +94,3 @@ class ChunkEncoder:
             if len(w) > self.longest:
                 del kept[w]
         return out
-
-
-def groups_by_size(texts: list[str], most_chars: int = 2_000_000):
-    """Slices of a list that hold about ``most_chars`` characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most_chars:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
-def ids_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, dtype="<u4")
-
-
-def _joined(one_by_one, together, joinable, most: int = 4096):
-    """Encode most strings as one text, which saves the call for each; the rest one by one."""
-
-    def encode_many(strings: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(strings)
-        easy, hard = [], []
-        for i, s in enumerate(strings):
-            if s:
-                (easy if joinable(s) else hard).append(i)
-        easy.sort(key=lambda i: strings[i][0] not in ".,")  # these must follow a letter or digit
-        for start in range(0, len(easy), most):
-            part = easy[start : start + most]
-            for i, ids in zip(part, together([strings[i] for i in part]), strict=True):
-                out[i] = ids
-        for i, ids in zip(hard, one_by_one([strings[i] for i in hard]), strict=True):
-            out[i] = ids
-        return out
-
-    return encode_many
-
-
-_LIBRARY: dict[tuple, ChunkEncoder] = {}
-
-
-def library_encoder(path: str, kind: str) -> ChunkEncoder:
-    """A chunk encoder over the tokenizers library; one for each Python worker.
-
-    ``kind`` is "bytelevel", or "words" for a vocabulary that drops white space.
-    """
-    if (path, kind) in _LIBRARY:
-        return _LIBRARY[path, kind]
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-
-    def one_by_one(strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(strings, add_special_tokens=False)]
-
-    if kind == "words":
-        mark = "~"
-        mark_id = model.encode(mark, add_special_tokens=False).ids
-        assert len(mark_id) == 1, "the mark between words must be one token"
-
-        def together(strings: list[str]) -> list[bytes]:
-            ids = np.array(model.encode_batch_fast([f" {mark} ".join(strings)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == mark_id[0]).tolist() + [len(ids)]
-            packed, start, out = ids.tobytes(), 0, []
-            for end in ends:
-                out.append(packed[4 * start : 4 * end])
-                start = end + 1
-            return out
-
-        encoder = ChunkEncoder(
-            _joined(one_by_one, together, lambda s: mark not in s),
-            split=split_words,
-            surface=lambda w: w,
-        )
-    else:
-        widths = np.zeros(model.get_vocab_size() + 1, dtype=np.int64)
-        for token, i in model.get_vocab(with_added_tokens=False).items():
-            widths[i] = len(token)  # one character for each byte
-        plain = re.compile(r"[ \n]\S+|[.,](?:\S*[^\W_])?(?<![.,])")
-
-        def together(strings: list[str]) -> list[bytes]:
-            text = "".join(strings)
-            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(s.encode()) for s in strings])
-            cuts = np.searchsorted(np.cumsum(widths[ids]), ends, side="left") + 1
-            packed, start, out = ids.tobytes(), 0, []
-            for cut in cuts.tolist():
-                out.append(packed[4 * start : 4 * cut])
-                start = cut
-            return out
-
-        encoder = ChunkEncoder(_joined(one_by_one, together, lambda s: plain.fullmatch(s) is not None))
-    _LIBRARY[path, kind] = encoder
-    return encoder

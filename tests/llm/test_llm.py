@@ -107,7 +107,6 @@ def test_packing_is_gapless_and_tight(spark, odd):
     docs = odd.select("doc_id", "text", "key").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit(0).alias("key")))
     rows = packing.pack_documents(docs, path, group_items=64).collect()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     want = {}
     for r in docs.collect():
         x = np.array(library.encode(r.text or "", add_special_tokens=False).ids + [2], dtype="<u4")
@@ -273,7 +272,6 @@ def test_token_files(spark, odd):
     files = bitpacked.write_token_files(odd, folder, path, 1, 49408)
     rows = sorted(bitpacked.read_token_files(spark, files).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     assert [r.doc_id for r in rows] == sorted([r.doc_id for r in odd.collect()], key=lambda k: (k is not None, k))
     want = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [1] for r in odd.collect()}
     at = 0
