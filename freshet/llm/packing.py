@@ -4,7 +4,8 @@ Documents are tokenised and cut into pieces that fit a sequence.  Whole-sequence
 pieces stand alone.  The others are dealt into groups of bounded size, and each
 group is packed by several islands.  An individual is a list of bins.  Crossover
 injects whole well-filled bins of one parent into the other, removes the bins
-that hold any of the same pieces, and best-fits the pieces thus displaced.
+that hold any of the same pieces, and best-fits the pieces thus displaced.  Mutation takes
+the emptiest bins apart and packs their pieces anew, by best fit or into tight bins.
 After each epoch every island sends its best individuals to the next island of
 its group.
 
@@ -125,31 +126,84 @@ def crossover(mother: Packing, father: Packing, lengths: list[int], most: int, r
     return best_fit(Packing(bins, left), displaced, lengths, most)
 
 
+def tight_bins(lengths: list[int], most: int, rng: np.random.Generator | None = None) -> Packing:
+    """Bins that each begin with the longest item left and take the one or two others that leave the least space, again until none fits.
+
+    Of equal choices it takes the longest item, or with ``rng`` any.
+    """
+    own: list[list[int]] = [[] for _ in range(most + 1)]
+    for i, n in enumerate(lengths):
+        own[n].append(i)
+    count = np.array([len(x) for x in own])
+    packing, longest = Packing([], []), most
+
+    def take(n: int) -> int:
+        count[n] -= 1
+        return own[n].pop()
+
+    for _ in range(len(lengths)):
+        while longest and not count[longest]:
+            longest -= 1
+        if not longest:
+            break
+        items, room = [take(longest)], most - longest
+        while room and len(have := np.flatnonzero(count[: room + 1])):
+            chosen, least = (int(have[-1]),), room - int(have[-1])
+            if least:
+                at = np.searchsorted(have, room - have, side="right") - 1
+                one, two = have[at >= 0], have[at[at >= 0]]
+                able = (one != two) | (count[one] > 1)
+                one, two = one[able], two[able]
+                space = room - one - two
+                if len(space) and space.min() < least:
+                    best = np.flatnonzero(space == space.min())
+                    k = best[-1] if rng is None else rng.choice(best)
+                    chosen = int(one[k]), int(two[k])
+            items += [take(n) for n in chosen]
+            room -= sum(chosen)
+        packing.bins.append(items)
+        packing.left.append(room)
+    return packing
+
+
 def mutate(packing: Packing, lengths: list[int], most: int, rng: np.random.Generator, share: float) -> Packing:
-    """Take apart the emptiest bins and some others, then best-fit their items."""
+    """Take apart the emptiest bins and as many others, then pack their items by best fit or into tight bins."""
     n = len(packing.bins)
-    worst = np.argsort(-np.asarray(packing.left), kind="stable")[: max(1, int(share * n))].tolist()
-    gone = {*worst, *rng.integers(0, n, size=max(1, int(share * n))).tolist()}
-    items = [x for i in gone for x in packing.bins[i]]
+    if not n:
+        return Packing([], [])
+    size = max(2, int(share * n))
+    gone = {*np.argsort(-np.asarray(packing.left), kind="stable")[:size].tolist(), *rng.integers(0, n, size=size).tolist()}
+    items = sorted((x for i in gone for x in packing.bins[i]), key=lambda x: (lengths[x], x))
     kept = [i for i in range(n) if i not in gone]
-    return best_fit(Packing([list(packing.bins[i]) for i in kept], [packing.left[i] for i in kept]), items, lengths, most)
+    rest = Packing([list(packing.bins[i]) for i in kept], [packing.left[i] for i in kept])
+    if rng.random() < 0.5:
+        return best_fit(rest, items, lengths, most)
+    new = tight_bins([lengths[x] for x in items], most, rng)
+    return Packing([*rest.bins, *[[items[i] for i in own] for own in new.bins]], [*rest.left, *new.left])
 
 
 def first_generation(lengths: list[int], most: int, rng: np.random.Generator, size: int) -> list[Packing]:
-    """Best fit of all items, the longest first, and mutants of it."""
+    """Best fit of all items, the longest first; tight bins of several kinds; mutants of the first."""
     base = best_fit(Packing([], []), list(range(len(lengths))), lengths, most)
-    return [base, *[mutate(base, lengths, most, rng, 0.1) for _ in range(size - 1)]]
+    people = [base, tight_bins(lengths, most), *[tight_bins(lengths, most, rng) for _ in range(size // 2 - 1)]]
+    return [*people, *[mutate(base, lengths, most, rng, 0.2) for _ in range(size - len(people))]][:size]
 
 
 def evolve(population: list[Packing], lengths: list[int], most: int, generations: int, rng: np.random.Generator) -> list[Packing]:
-    """Steady-state evolution: a child takes the worst individual's place if it is fitter."""
+    """Steady-state evolution: a child takes the worst individual's place if it is fitter.
+
+    It ends early where there are as few bins as the sum of lengths allows.
+    """
     least = -(-sum(lengths) // most)
     score = [(len(p.bins), -p.fitness(most)) for p in population]
     for _ in range(generations):
         if min(score)[0] <= least or len(population) < 2:
             break
         a, b = rng.choice(len(population), size=2, replace=False).tolist()
-        child = mutate(crossover(population[a], population[b], lengths, most, rng, 0.1), lengths, most, rng, 0.02)
+        child = population[a]
+        if rng.random() < 0.5:
+            child = crossover(child, population[b], lengths, most, rng, float(rng.choice([0.1, 0.5, 1.0])))
+        child = mutate(child, lengths, most, rng, float(rng.choice([0.005, 0.02, 0.08, 0.2])))
         new, worst = (len(child.bins), -child.fitness(most)), max(range(len(score)), key=score.__getitem__)
         if new < score[worst]:
             population[worst], score[worst] = child, new
@@ -173,7 +227,7 @@ def _unpacked(data: bytes, lengths: list[int], most: int) -> Packing:
     return Packing(bins, left)
 
 
-def pack_pieces(pieces: DataFrame, most: int = 1024, group_items: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 8, population: int = 4, elite: int = 1) -> DataFrame:
+def pack_pieces(pieces: DataFrame, most: int = 1024, group_items: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 40, population: int = 6, elite: int = 1) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces ``(key, piece, length, ...)``.
 
     ``pieces`` should be staged: it is read more than once.  Groups hold about
@@ -187,7 +241,7 @@ def pack_pieces(pieces: DataFrame, most: int = 1024, group_items: int = 4096, is
     dealt = staged(short.withColumn("grp", F.pmod(F.xxhash64("key", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))), "pack-groups")
     order = ["length", "key", "piece", "ids_crc32"]
 
-    def begin(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def begin(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = sorted(rows["length"].tolist())
         out = []
         for island in range(islands):
@@ -200,7 +254,7 @@ def pack_pieces(pieces: DataFrame, most: int = 1024, group_items: int = 4096, is
     state = dealt.groupBy("grp").applyInPandas(begin, state_schema)
 
     def epoch_of(epoch: int):
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             lengths = np.frombuffer(rows["lengths"].iloc[0], dtype="<i4").tolist()
             rng = np.random.default_rng([int(key[0]), int(key[1]), epoch])
             people = evolve([_unpacked(x, lengths, most) for x in sorted(rows["bin_of"])], lengths, most, generations, rng)
@@ -216,7 +270,7 @@ def pack_pieces(pieces: DataFrame, most: int = 1024, group_items: int = 4096, is
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def settle(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    def settle(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         lengths = rows["length"].tolist()
         best = min((_unpacked(x, lengths, most) for x in sorted(states["bin_of"])), key=lambda p: (len(p.bins), -p.fitness(most)), default=Packing([], []))
