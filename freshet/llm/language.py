@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .shared import documents, only
 
@@ -46,20 +47,20 @@ def counts(text: str | None, block: int = 1 << 20) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text; None if it has no letter."""
     total = np.zeros(DIMENSIONS, dtype=np.int64)
     seen = False
-    text = text or ""
+    text = (text or "").lower()
     for at in range(0, len(text), block):
-        part = text[max(0, at - 2) : at + block].lower()
-        c = letter_table()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        before = min(at, 2)  # characters that grams of this block begin with; they are counted already
+        c = letter_table()[np.frombuffer(text[at - before : at + block].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         letter = c != 32
-        if not letter.any():
+        if not letter[before:].any() and not seen:
             continue
         seen = True
         c = c * np.uint32(0x9E3779B1)
-        one, two, three = c, (c[:-1] << np.uint32(5)) ^ (c[1:] * np.uint32(31)), None
+        one, two = c, (c[:-1] << np.uint32(5)) ^ (c[1:] * np.uint32(31))
         three = (two[:-1] * np.uint32(0x85EBCA6B)) ^ c[2:] if len(c) > 2 else c[:0]
-        for h, own in ((one, letter), (two, letter[:-1] | letter[1:]), (three, letter[1:-1])):
-            h = (h * np.uint32(0xC2B2AE35)) >> np.uint32(20)
-            total += np.bincount(h[own[: len(h)]], minlength=DIMENSIONS)
+        for h, own, first in ((one, letter, before), (two, letter[:-1] | letter[1:], max(0, before - 1)), (three, letter[1:-1], 0)):
+            h = (h[first:] * np.uint32(0xC2B2AE35)) >> np.uint32(20)
+            total += np.bincount(h[own[first:]], minlength=DIMENSIONS)
     return total if seen else None
 
 
@@ -139,11 +140,12 @@ def train(docs: DataFrame, per_language: int = 300, id_column: str = "doc_id", t
         share = F.when(F.col("lang") == language, most) if share is None else share.when(F.col("lang") == language, most)
     drawn = F.pmod(F.xxhash64("key"), F.lit(parts))
     sample = rows.withColumn("drawn", drawn).where(F.col("drawn") < share)
+    sample = sample.groupBy("key").agg(F.min(F.struct("lang", "text", "drawn")).alias("row")).select("row.*")  # a key counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs, drawn = (batch.column(c).to_pylist() for c in ("text", "lang", "drawn"))
-            own = [(lang, d, v.clip(0, 65535).astype("<u2").tobytes()) for t, lang, d in zip(texts, langs, drawn) if (v := counts(t)) is not None]
+            own = [(lang, d, v.astype("<u4").tobytes()) for t, lang, d in zip(texts, langs, drawn) if (v := counts(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "drawn", "counts"])
 
     # the bound: twice per_language of each language on average, of which per_language are taken
@@ -151,13 +153,13 @@ def train(docs: DataFrame, per_language: int = 300, id_column: str = "doc_id", t
     used: dict[str, list[np.ndarray]] = {}
     for r in sorted(got):
         if len(used.setdefault(r["lang"], [])) < per_language:
-            used[r["lang"]].append(np.frombuffer(r["counts"], "<u2").astype(np.int64))
+            used[r["lang"]].append(np.frombuffer(r["counts"], "<u4").astype(np.int64))
     return fit([(lang, v) for lang, rows in sorted(used.items()) for v in rows])
 
 
 def identify(docs: DataFrame, model: Centroids, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all) in one struct ``doc``, and ``lang_pred, score, rejected``."""
-    wrapped = docs.select(F.struct(*(keep or docs.columns)).alias("doc"), F.col(text_column).alias("text"))
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(f"`{text_column}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: a few centroids for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,8 @@ def identify(docs: DataFrame, model: Centroids, text_column: str = "text", keep:
             lang, score, rejected = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc", "lang_pred", "score", "rejected"])
 
-    return wrapped.mapInArrow(run, f"doc {wrapped.schema['doc'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    schema = StructType([wrapped.schema["doc"], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())))])
+    return wrapped.mapInArrow(run, schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
