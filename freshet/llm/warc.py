@@ -27,28 +27,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_folder, only, pages, publish
+from .shared import filesystem, new_folder, only, pages, publish, staged
 
 _BLANK = re.compile(r"[\x00-\x20\x7f]+")
 
 
-def with_revisits(df: DataFrame, id_column: str, url_column: str, payload_column: str, least_bytes: int = 100) -> DataFrame:
+def with_revisits(df: DataFrame, id_column: str, url_column: str, payload_column: str, least_bytes: int = 100, broadcast_rows: int = 200_000) -> DataFrame:
     """``(key, url, payload, payload_bytes, digest, refers_to)``.
 
-    Digests are counted before anything is joined, and only those that more than
-    one record has go on, so payloads are not shuffled while these are few.
+    Digests and keys alone are grouped first.  Payloads are dealt only by a digest
+    that may repeat: while at most ``broadcast_rows`` do (100 bytes each), their table goes to every
+    task and no payload moves.  Beyond that payloads of ``least_bytes`` or more are joined by
+    digest; smaller ones, which never revisit, are dealt by a hash of their own.
     """
     rows = only(df, key=id_column, url=url_column, payload=payload_column).withColumn("payload", F.encode(F.coalesce("payload", F.lit("")), "UTF-8"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    repeated = (
-        rows.where(F.col("payload_bytes") >= least_bytes)
-        .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min("key").alias("first"))
-        .where("n > 1")
-        .select("digest", "first")
-    )
-    marked = rows.join(repeated, "digest", "left")
-    return marked.withColumn("refers_to", F.when(F.col("first") < F.coalesce("key", F.lit(2**63 - 1)), F.col("first"))).drop("first")
+    repeated = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
+    repeated = staged(repeated.select(F.col("digest").alias("sought"), "first"), "digests")
+    if repeated.count() <= broadcast_rows:
+        marked = rows.join(F.broadcast(repeated), rows["digest"] == repeated["sought"], "left")
+    else:
+        may = F.when(F.col("payload_bytes") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("small-"), F.xxhash64("key", "url").cast("string")))
+        rows = rows.withColumn("may", may)
+        marked = rows.join(repeated, rows["may"] == repeated["sought"], "left").drop("may")
+    refers = F.when((F.col("payload_bytes") >= least_bytes) & (F.col("first") < F.coalesce("key", F.lit(2**63 - 1))), F.col("first"))
+    return marked.withColumn("refers_to", refers).drop("first", "sought")
 
 
 def record_bytes(key: int | None, url: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
