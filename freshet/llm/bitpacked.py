@@ -1,10 +1,9 @@
 """Operator 9: token ids in files of fixed-width packed integers.
 
-File layout, all integers little-endian: the magic ``FRBP0001``; a header of
-unsigned 64-bit integers (bits of an id, ids in a block, documents, ids,
-position of the footer); the blocks, each of whole bytes; then the footer with
-the block offsets, the key (signed 64-bit), a null flag and the first id of each
-document.  An id takes the least bits that hold the vocabulary.  Every block but
+File layout, all integers little-endian: the magic ``FRBP0001``; the blocks, each of
+whole bytes; the footer with the block offsets, the key (signed 64-bit), a null flag
+and the first id of each document; last a header of unsigned 64-bit integers (bits of
+an id, ids in a block, documents, ids, position of the footer), which is known only then.  An id takes the least bits that hold the vocabulary.  Every block but
 the last holds the same number of ids, so ids ``a`` to ``b`` need only the
 blocks they touch.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none (local tests) a temporary one is made.
+    Only where the session has none and all runs on one machine a temporary one is made.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         current = spark.sparkContext.getCheckpointDir()
         place = os.path.dirname(current) if current else None
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
