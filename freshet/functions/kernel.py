@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,21 @@ def inverse_square(dr: Column, dc: Column, dx: float, dy: float) -> Column:
     return F.lit(1.0) / (z * z)
 
 
+@functools.lru_cache(16)
+def stamp_of(k: int, dx: float, dy: float) -> np.ndarray:
+    """Weights of the box of ``k`` cells as an array, zero outside the ellipse; the same arithmetic as the two above."""
+    d = np.arange(-k, k + 1)
+    x, y = (d * dx)[None, :], (d * dy)[:, None]
+    inside = (x * x) / ((k * dx) * (k * dx)) + (y * y) / ((k * dy) * (k * dy)) <= 1
+    return np.where(inside, inverse_square_of(x, y), 0.0)
+
+
+def inverse_square_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = np.sqrt(x * x + y * y)
+    z = np.where(z < 1e-4, 1e-3, z)
+    return 1.0 / (z * z)
+
+
 def cells_of_width(width: Column, dx: float, dy: float) -> Column:
     """Top width in cells, rounded half to even, two at least."""
     k = F.greatest(F.rint(width / F.lit(dx)), F.rint(width / F.lit(dy))).cast("int")

@@ -28,22 +28,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def label_tile(key, cells: pd.DataFrame) -> pd.DataFrame:
-    """Four-connected labels within a tile: the least cell number of each area."""
-    number = cells["r"].to_numpy("int64") * 2**31 + cells["c"].to_numpy("int64")
-    value = dict(zip(number.tolist(), cells["value"].tolist()))
-    label: dict[int, int] = {}
-    for start in sorted(value):
-        if start in label:
-            continue
-        label[start], todo = start, [start]
-        while todo:
-            x = todo.pop()
-            for y in (x - 1, x + 1, x - 2**31, x + 2**31):
-                if y not in label and value.get(y) == value[start]:
-                    label[y] = start
-                    todo.append(y)
-    return cells[["r", "c", "value"]].assign(label=np.array([label[x] for x in number.tolist()], dtype="int64"))
+def label_tile(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """Four-connected labels within a tile: the least cell number of each area.
+
+    Runs of equal value along rows are joined where they touch the row above.
+    """
+    cells = cells.sort_values(["r", "c"], kind="stable")[["r", "c", "value"]]
+    r, c, value = (cells[n].to_numpy("int64") for n in ("r", "c", "value"))
+    starts = np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1) | (value[1:] != value[:-1])]
+    run = np.cumsum(starts) - 1
+    number = r * 2**31 + c
+    above = np.minimum(np.searchsorted(number, number - 2**31), len(number) - 1)
+    touch = (number[above] == number - 2**31) & (value[above] == value)
+    pairs = np.unique(np.column_stack([run[above[touch]], run[touch]]), axis=0)
+    up = list(range(int(run[-1]) + 1))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    first = number[starts]
+    return cells.assign(label=first[[root(x) for x in range(len(up))]][run])
 
 
 def areas(cells: DataFrame, tile: int = TILE) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.functions.kernel import cells_of_width, in_ellipse, inverse_square
+from freshet.functions.kernel import cells_of_width, stamp_of
 from freshet.operators.hydraulics import width_cap
+from freshet.operators.tiles import TILE, on_tiles
 
 
 def seeds(stream: DataFrame, dem: DataFrame, cell_hyd: DataFrame, reach_hyd: DataFrame, limit: float, dx: float, dy: float) -> DataFrame:
@@ -27,7 +30,7 @@ def fixed_depth_seeds(stream: DataFrame, dem: DataFrame, depth: float, limit: fl
 
 
 def _sized(at: DataFrame, cap: DataFrame, dx: float, dy: float) -> DataFrame:
-    kept = at.where("wse >= 0.001 AND tw >= 0.00001").join(cap, "event")
+    kept = at.where("wse >= 0.001 AND tw >= 0.00001").join(F.broadcast(cap), "event")  # a row for each event, which are columns of one table
     return kept.select("event", "r", "c", "wse", "tw", cells_of_width(F.least("tw", "cap"), dx, dy).alias("k"))
 
 
@@ -48,25 +51,40 @@ def offsets_of(seed: DataFrame) -> DataFrame:
     return seed.select("*", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
 
 
-def stamped(seed: DataFrame, dem: DataFrame, dx: float, dy: float, mask: DataFrame | None = None) -> DataFrame:
-    """``(event, r, c, swz, sw)``: weighted sums over the seeds that reach a cell.
+def stamped(seed: DataFrame, dem: DataFrame, dx: float, dy: float, tile: int = TILE) -> DataFrame:
+    """``(event, r, c, z, swz, sw)``: weighted sums over the seeds that reach a cell of the ground.
 
-    Seeds are expanded to the cells of their ellipse, so the join with the ground is an
-    equi-join; sums are combined before that shuffle.  ``mask`` limits seeds to
-    ``(event, seed_r, seed_c, dr, dc)``.
+    A seed goes to the tiles that its box meets, where its weights are added to arrays; nothing is exploded
+    to cells before they are summed.  A column ``fill`` of packed bits, row by row
+    over the seed's box, takes the place of the ellipse's outline within it.
     """
-    spread = offsets_of(seed).where(in_ellipse(F.col("k"), F.col("dr"), F.col("dc"), dx, dy))
-    if mask is not None:
-        spread = spread.join(mask, [spread["event"] == mask["event"], spread["r"] == mask["seed_r"], spread["c"] == mask["seed_c"], spread["dr"] == mask["dr"], spread["dc"] == mask["dc"]], "left_semi")
-    w = inverse_square(F.col("dr"), F.col("dc"), dx, dy)
-    cells = spread.select("event", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), (F.col("wse") * w).alias("wz"), w.alias("w"))
-    sums = cells.groupBy("event", "r", "c").agg(F.sum("wz").alias("swz"), F.sum("w").alias("sw"))
-    return sums.join(dem.select("r", "c"), ["r", "c"], "left_semi").select("event", "r", "c", "swz", "sw")
-
-
-def flooded(sums: DataFrame, dem: DataFrame, stream: DataFrame, events: int) -> DataFrame:
+    schema = "event int, r int, c int, swz double, sw double"
+    columns = ["event", "r", "c", "wse", "k", *[c for c in seed.columns if c == "fill"]]
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        event, tr, tc = (int(x) for x in key)
+        r0, c0 = tr * tile, tc * tile
+        swz, sw = np.zeros((tile, tile)), np.zeros((tile, tile))
+        for row in own.sort_values(["r", "c", "wse", "k"]).itertuples(index=False):
+            k, top, left = int(row.k), int(row.r) - int(row.k) - r0, int(row.c) - int(row.k) - c0
+            weights = stamp_of(k, dx, dy)
+            if "fill" in columns:
+                weights = weights * np.unpackbits(np.frombuffer(row.fill, np.uint8), count=weights.size).reshape(weights.shape)
+            rows, cols = slice(max(0, -top), max(0, tile - top)), slice(max(0, -left), max(0, tile - left))
+            part = weights[rows, cols]
+            here = np.s_[max(0, top) : max(0, top) + part.shape[0], max(0, left) : max(0, left) + part.shape[1]]
+            sw[here] += part
+            swz[here] += row.wse * part
+        i, j = np.nonzero(sw)
+        return pd.DataFrame({"event": event, "r": i + r0, "c": j + c0, "swz": swz[i, j], "sw": sw[i, j]})
+
+    sums = on_tiles(seed.select(*columns), F.col("k"), tile).groupBy("event", "tr", "tc").applyInPandas(run, schema)
+    return sums.join(dem.select("r", "c", "z"), ["r", "c"]).select("event", "r", "c", "z", "swz", "sw")
+
+
+def flooded(sums: DataFrame, stream: DataFrame, events: int) -> DataFrame:
     """``(event, r, c)`` of wet cells: mean water surface above ground, and all stream cells."""
-    wet = sums.join(dem, ["r", "c"]).where(F.try_divide("swz", "sw") > F.col("z")).select("event", "r", "c")
+    wet = sums.where(F.try_divide("swz", "sw") > F.col("z")).select("event", "r", "c")
     forced = stream.select(F.explode(F.sequence(F.lit(0), F.lit(events - 1))).alias("event"), "r", "c")
     return wet.unionByName(forced).distinct()
 

@@ -51,10 +51,11 @@ def positive(h: DataFrame) -> DataFrame:
 def within_two_sigma(df: DataFrame, column: str) -> DataFrame:
     """Rows within two sample deviations of the event's mean.
 
-    Aggregated to a row for each event and joined, so no window holds an event.
+    Aggregated to a row for each event and joined, so no window holds an event.  Events are
+    columns of the flow table, so their rows are few and go to every task.
     """
     stats = df.groupBy("event").agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))
-    return df.join(stats, "event").where(F.col(column).between(F.col("m") - 2 * F.col("s"), F.col("m") + 2 * F.col("s"))).drop("m", "s")
+    return df.join(F.broadcast(stats), "event").where(F.col(column).between(F.col("m") - 2 * F.col("s"), F.col("m") + 2 * F.col("s"))).drop("m", "s")
 
 
 def outliers_to_median(df: DataFrame) -> DataFrame:

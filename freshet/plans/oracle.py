@@ -38,6 +38,20 @@ def topo(w: str) -> str:
 FROM dem LEFT JOIN bed USING (r, c) LEFT JOIN filled USING (r, c)"""
 
 
+def sweeps() -> dict[str, str]:
+    """The three sweeps of the local fill: a marked cell that a sweep comes to marks its wet neighbours.
+
+    ``went`` holds the cells that act in a sweep (marked before it, or by one that came earlier in it), ``mark`` all cells marked after it.
+    """
+    same = "w.event = f.event AND w.seed_r = f.seed_r AND w.seed_c = f.seed_c AND w.dr BETWEEN f.dr - 1 AND f.dr + 1 AND w.dc BETWEEN f.dc - 1 AND f.dc + 1"
+    steps = [("w.dr >= 0 AND w.dc >= 0", ">"), ("w.dr <= 0 AND w.dc <= 0", "<"), ("true", ">")]
+    out = {"mark0": "SELECT event, r AS seed_r, c AS seed_c, 0::BIGINT AS dr, 0::BIGINT AS dc FROM seed"}
+    for n, (region, later) in enumerate(steps, 1):
+        out[f"went{n}"] = f"SELECT w.* FROM mark{n - 1} w WHERE {region} UNION SELECT w.event, w.seed_r, w.seed_c, w.dr, w.dc FROM went{n} f JOIN wetbox w ON {same} WHERE {region} AND (w.dr {later} f.dr OR (w.dr = f.dr AND w.dc {later} f.dc))"
+        out[f"mark{n}"] = f"SELECT * FROM mark{n - 1} UNION SELECT w.event, w.seed_r, w.seed_c, w.dr, w.dc FROM went{n} f JOIN wetbox w ON {same}"
+    return out
+
+
 CTES: dict[str, str] = {
     "dem": f"SELECT {columns(DEM)} FROM orders",
     "curve": f"SELECT {columns(curve_columns('//', False))} FROM dem WHERE c BETWEEN 49 AND 51 UNION ALL SELECT {columns(curve_columns('//', True))} FROM dem WHERE c = 50 AND r % 20 = 0",
@@ -86,15 +100,16 @@ CTES: dict[str, str] = {
     "bed": "SELECT r, c, CASE WHEN m > 0 THEN v ELSE -99e0 END AS v FROM bathy JOIN watermask USING (r, c)",
     "wetbox": "SELECT b.event, b.r AS seed_r, b.c AS seed_c, dr, dc FROM box b JOIN dem d ON d.r = b.r + dr AND d.c = b.c + dc WHERE z <= wse",
     "fill": "SELECT event, r AS seed_r, c AS seed_c, 0::BIGINT AS dr, 0::BIGINT AS dc FROM seed UNION SELECT w.event, w.seed_r, w.seed_c, w.dr, w.dc FROM fill f JOIN wetbox w ON w.event = f.event AND w.seed_r = f.seed_r AND w.seed_c = f.seed_c AND w.dr BETWEEN f.dr - 1 AND f.dr + 1 AND w.dc BETWEEN f.dc - 1 AND f.dc + 1",
+    **sweeps(),
     "reach_no": "SELECT DISTINCT (r // 5)::BIGINT AS i FROM dem WHERE c BETWEEN 49 AND 51",
 }
-ORDER = ["dem", "curve", "flow", "events", "stream", "flow_all", "flow1", "rf", "h", "f0", "f1", "f2", "f3", "cell_hyd", "reach_hyd", "vdt", "vh", "vdt_reach", "cap", "seed", "box", "stamp", "flood", "ens", "cell", "link", "walk", "area", "reach_no", "segment", "crossed", "bathy", "watermask", "bed", "wetbox", "fill"]
+ORDER = ["dem", "curve", "flow", "events", "stream", "flow_all", "flow1", "rf", "h", "f0", "f1", "f2", "f3", "cell_hyd", "reach_hyd", "vdt", "vh", "vdt_reach", "cap", "seed", "box", "stamp", "flood", "ens", "cell", "link", "walk", "area", "reach_no", "segment", "crossed", "bathy", "watermask", "bed", "wetbox", "fill", "mark0", "went1", "mark1", "went2", "mark2", "went3", "mark3"]
 
 
 def with_ctes(last: str, select: str) -> str:
     """``select`` after the relations up to ``last``."""
     names = ORDER[: ORDER.index(last) + 1]
-    body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('f0', 'f1', 'f2', 'f3', 'seed', 'ens', 'link', 'wetbox') else ''}({CTES[n]})" for n in names)
+    body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('f0', 'f1', 'f2', 'f3', 'seed', 'ens', 'link', 'wetbox', 'mark0', 'mark1', 'mark2') else ''}({CTES[n]})" for n in names)
     return f"WITH RECURSIVE {body}{', ' if ' AS (' in select[:12] else chr(10)}{select}"
 
 
@@ -128,10 +143,11 @@ ORACLE_SQL: dict[str, str] = {
     "q15_kernel_weights": f"SELECT dr, dc, round({weight()}, 4) AS w FROM (SELECT unnest(range(-20, 21))::INT AS dr), (SELECT unnest(range(-20, 21))::INT AS dc)",
     "q16_ellipse_counts": f"SELECT k, count(*) AS n FROM (SELECT k, dr, unnest(range(-k, k + 1)) AS dc FROM (SELECT k, unnest(range(-k, k + 1)) AS dr FROM (SELECT unnest(range(1, 21))::INT AS k))) WHERE {ELLIPSE.format(dx='30.87e0', dy='23.65e0')} GROUP BY k",
     "q17_seed_select": with_ctes("seed", f"SELECT event, r, c, {_R('wse', 'tw')}, k FROM seed"),
-    "q18_stamp_sums": with_ctes("stamp", f"SELECT event, r, c, {_R('swz', 'sw')} FROM stamp"),
+    "q18_stamp_sums": with_ctes("stamp", f"SELECT event, r, c, round(swz, 2) AS swz, {_R('sw')} FROM stamp"),
     "q19_flood_single": with_ctes("flood", "SELECT r, c FROM flood WHERE event = 0"),
     "q20_flood_ensemble": with_ctes("ens", "SELECT * FROM ens"),
     "q21_local_fill_connected": with_ctes("fill", "SELECT event, seed_r, seed_c, count(*) AS n, sum(dr)::BIGINT AS sum_dr, sum(dc)::BIGINT AS sum_dc FROM fill GROUP BY event, seed_r, seed_c"),
+    "q22_local_fill_passes": with_ctes("mark3", "SELECT event, seed_r, seed_c, count(*) AS n, sum(dr)::BIGINT AS sum_dr, sum(dc)::BIGINT AS sum_dc FROM mark3 GROUP BY event, seed_r, seed_c"),
     "q23_components": with_ctes("area", "SELECT r, c, value, label FROM area"),
     "q24_stream_polygon_join": with_ctes("crossed", "SELECT DISTINCT label, value, stream_id FROM area JOIN crossed USING (r, c)"),
     "q25_stream_polygon_semi": with_ctes("crossed", "SELECT DISTINCT label, value FROM area SEMI JOIN crossed USING (r, c)"),
@@ -145,4 +161,18 @@ ORACLE_SQL: dict[str, str] = {
     "q33_config_first_match": rf"SELECT key, arg_min(value, n) AS value FROM (SELECT n, regexp_extract(trim(line), '^(\S+)', 1) AS key, regexp_extract(trim(line), '^\S+\s+(.+)$', 1) AS value FROM (VALUES {_CONFIG}) t(n, line)) WHERE value <> '' GROUP BY key",
     "q34_raster_extent": with_ctes("dem", "SELECT max(c) + 1 AS ncols, max(r) + 1 AS nrows, 1000e0 AS minx, 5000e0 - (max(r) + 1) * 10e0 AS miny, 1000e0 + (max(c) + 1) * 10e0 AS maxx, 5000e0 AS maxy FROM dem"),
     "q35_vdt_fixed_vs_curve_mode": with_ctes("cap", "SELECT 'curve' AS mode, event, round(cap, 4) AS cap FROM cap UNION ALL SELECT 'vdt', event, round(least(max(tw), 200e0), 4) FROM vdt_reach GROUP BY event UNION ALL SELECT 'fixed', 0, 200e0"),
+    "q36_vdt_cells": with_ctes("vh", "SELECT event, r, c, round(arg_max(tw, line_no), 4) AS tw, round(arg_max(wse, line_no), 4) AS wse FROM vh WHERE tw > 0.0001 AND wse > 0.0001 GROUP BY event, r, c"),
+    "q37_vdt_seeds": with_ctes("seed", """SELECT event, r, c, round(wse, 4) AS wse, round(tw, 4) AS tw, CASE WHEN n <= 1 THEN 2 ELSE n END AS k FROM (
+      SELECT event, r, c, wse, tw, round_even(least(tw, cap) / 10e0, 0)::INT AS n FROM (
+        SELECT s.r, s.c, rh.event, CASE WHEN ch.wse >= 0.001 AND ch.tw >= 1e-5 THEN ch.wse ELSE z + rh.depth END AS wse, CASE WHEN ch.wse >= 0.001 AND ch.tw >= 1e-5 THEN ch.tw ELSE rh.tw END AS tw
+        FROM stream s JOIN dem USING (r, c) JOIN vdt_reach rh ON rh.comid = s.comid
+        LEFT JOIN (SELECT event, r, c, arg_max(tw, line_no) AS tw, arg_max(wse, line_no) AS wse FROM vh WHERE tw > 0.0001 AND wse > 0.0001 GROUP BY event, r, c) ch ON ch.event = rh.event AND ch.r = s.r AND ch.c = s.c
+      ) JOIN (SELECT event, least(max(tw), 200e0) AS cap FROM vdt_reach GROUP BY event) USING (event) WHERE wse >= 0.001 AND tw >= 1e-5)"""),
+    "q38_stamp_means": with_ctes("stamp", f"SELECT event, r, c, round(swz / sw, 4) AS wse, {_R('sw')} FROM stamp"),
+    "q39_local_flood": with_ctes("fill", f"""SELECT r, c, (100 * count(*) // 3)::INT AS pct FROM (
+      SELECT event, r, c FROM (
+        SELECT b.event, b.r + b.dr AS r, b.c + b.dc AS c, sum(wse * {weight("b.dr", "b.dc")}) / sum({weight("b.dr", "b.dc")}) AS level
+        FROM (SELECT * FROM box WHERE {ELLIPSE.format(dx='10e0', dy='10e0')}) b JOIN fill f ON f.event = b.event AND f.seed_r = b.r AND f.seed_c = b.c AND f.dr = b.dr AND f.dc = b.dc
+        GROUP BY b.event, b.r + b.dr, b.c + b.dc) JOIN dem USING (r, c) WHERE level > z
+      UNION SELECT event, r, c FROM stream CROSS JOIN events) GROUP BY r, c"""),
 }

@@ -60,8 +60,9 @@ def flood_events(spark: SparkSession, cfg: Config, dem: DataFrame, dx: float, dy
         reach = written(reach, "reaches")
         seed = flood.seeds(stream, dem, cell, reach, limit, dx, dy)
     seed = written(seed, "seeds")
-    mask = written(localfill.local_mask(seed, dem), "local") if cfg.localfloodoption else None
-    wet = flood.flooded(flood.stamped(seed, dem, dx, dy, mask), dem, stream, events)
+    if cfg.localfloodoption:
+        seed = written(localfill.local_fill(seed, dem), "local")
+    wet = flood.flooded(flood.stamped(seed, dem, dx, dy), stream, events)
     return written(flood.ensemble(wet, events), "ensemble"), events
 
 
