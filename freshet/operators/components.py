@@ -7,25 +7,13 @@ minimum steps, each written out to cut lineage.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TILE = 256
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that all executors share, and read back."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="freshet-")
-    path = os.path.join(place, f"freshet-{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from freshet.operators.tiles import TILE
+from freshet.staging import written
 
 
 def label_tile(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:

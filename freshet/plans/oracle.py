@@ -175,4 +175,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT * FROM box WHERE {ELLIPSE.format(dx='10e0', dy='10e0')}) b JOIN fill f ON f.event = b.event AND f.seed_r = b.r AND f.seed_c = b.c AND f.dr = b.dr AND f.dc = b.dc
         GROUP BY b.event, b.r + b.dr, b.c + b.dc) JOIN dem USING (r, c) WHERE level > z
       UNION SELECT event, r, c FROM stream CROSS JOIN events) GROUP BY r, c"""),
+    "q40_grid_file": with_ctes("dem", f"SELECT r, c, {_R('z')} FROM dem"),
+    "q41_curve_file": with_ctes("curve", f"SELECT row_number() OVER (ORDER BY line_no) AS line_no, comid, r, c, {_R('base_elev', 'depth_a', 'depth_b', 'tw_a', 'tw_b')} FROM curve"),
+    "q42_flow_file": with_ctes("flow", f"SELECT row_number() OVER (ORDER BY line_no) AS line_no, comid, {_R('q0', 'q1', 'q2')} FROM flow"),
+    "q43_stage_file": with_ctes("vdt", f"SELECT line_no, comid, r, c, {_R('elev', 'qb')}, (j - 1)::INT AS step, round(steps[j].q, 4) AS q, 1e0 AS v, round(steps[j].tw, 4) AS tw, round(steps[j].wse, 4) AS wse FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS j FROM (SELECT * REPLACE (row_number() OVER (ORDER BY line_no) AS line_no) FROM vdt))"),
+    "q44_polygon_file": with_ctes("crossed", "SELECT value, stream_id, cells FROM (SELECT DISTINCT label, value, stream_id FROM area JOIN crossed USING (r, c)) JOIN (SELECT label, count(*) AS cells FROM area WHERE value > 0 GROUP BY label) USING (label)"),
+    "q45_whole_run": with_ctes("ens", "SELECT r, c, pct FROM ens WHERE pct > 0"),
+    "q46_grid_details": with_ctes("dem", "SELECT max(r) + 1 AS n_rows, max(c) + 1 AS n_cols, 10e0 AS dx, -10e0 AS dy, 1000e0 AS minx, 5000e0 - (max(r) + 1) * 10e0 AS miny, 1000e0 + (max(c) + 1) * 10e0 AS maxx, 5000e0 AS maxy FROM dem"),
 }

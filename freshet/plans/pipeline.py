@@ -5,20 +5,44 @@ from __future__ import annotations
 import logging
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.kernel import metric_cell_size
 from freshet.operators import components, flood, hydraulics, localfill, outlines, topobathy
-from freshet.operators.components import written
 from freshet.sources import raster, tables, vector
 from freshet.sources.config import Config
+from freshet.sources.projection import code_of_raster, code_of_text, text_of
+from freshet.staging import written
 
 log = logging.getLogger("freshet")
 
 
-def cells_of(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return raster.read_cells(spark, path).select("r", "c", F.col("v").alias(name))
+def cells_of(spark: SparkSession, path: str, name: str, nodata: bool = False) -> DataFrame:
+    return raster.read_cells(spark, path, nodata).select("r", "c", F.col("v").alias(name))
+
+
+def cells_or_none(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """Cells of a raster that the run can do without; none if it can't be read."""
+    if not path:
+        return None
+    try:
+        return written(cells_of(spark, path, name), "optional")
+    except (PySparkException, OSError) as problem:
+        log.warning("%s can't be read: %s", path, str(problem).splitlines()[0])
+        return None
+
+
+def common_projection(spark: SparkSession, streams: str, projection: dict) -> str | None:
+    """Text of the system that the grid and the stream lines share; raises where both name one and they differ."""
+    stated = vector.read_projection(spark, streams)
+    grid, lines = code_of_raster(projection), code_of_text(stated)
+    if grid and lines and grid != lines:
+        raise ValueError(f"the stream lines are in EPSG:{lines}, the grid in EPSG:{grid}")
+    if not (grid and lines):
+        log.warning("the reference systems of grid and stream lines can't be compared; they are taken to be the same")
+    return text_of(grid) or text_of(lines) or stated
 
 
 def metric_size(spark: SparkSession, shape: tuple[int, int], transform: tuple[float, ...]) -> tuple[float, float]:
@@ -43,7 +67,15 @@ def flood_events(spark: SparkSession, cfg: Config, dem: DataFrame, dx: float, dy
         stream = written(cells_of(spark, cfg.stream_file, "v").where("v > 0").select("r", "c", F.col("v").cast("long").alias("comid")), "stream")
         seed = flood.fixed_depth_seeds(stream, dem, cfg.set_depth, limit, dx, dy)
     else:
-        table = tables.read_curve(spark, cfg.print_curve_file) if cfg.print_curve_file else tables.read_vdt(spark, cfg.print_vdt_database)
+        if cfg.print_curve_file:
+            table = tables.read_curve(spark, cfg.print_curve_file)
+        else:
+            table = written(tables.read_vdt(spark, cfg.print_vdt_database), "stages")
+            if rising := tables.rising_stages(table).count():
+                if not cfg.sort_stages:
+                    log.warning("%d lines of the stage table don't run from high to low flow; the first stage that fits is taken", rising)
+                else:
+                    table = tables.falling(table)
         flow = tables.read_flow(spark, cfg.comid_flow_file)
         names = [c for c in flow.columns if c not in ("line_no", "comid")]
         if not names:
@@ -66,13 +98,19 @@ def flood_events(spark: SparkSession, cfg: Config, dem: DataFrame, dx: float, dy
     return written(flood.ensemble(wet, events), "ensemble"), events
 
 
-def flood_polygons(spark: SparkSession, ensemble: DataFrame, streams: str, transform: tuple[float, ...]) -> DataFrame:
-    """``(label, value, stream_id, rings)``: a row for each pair of a flood area and a stream line that meets it."""
+def flood_polygons(spark: SparkSession, ensemble: DataFrame, streams: str, transform: tuple[float, ...]) -> tuple[DataFrame, list[tuple[str, str]], DataFrame]:
+    """``(label, value, stream_id, attributes, rings)``: a row for each pair of a flood area and a stream line that meets it.
+
+    Also the attributes' columns and names, and the cells ``(r, c, label)`` of those areas.
+    """
     labelled = written(components.areas(ensemble.where("pct > 0").select("r", "c", F.col("pct").alias("value"))), "areas")
     pairs = components.areas_on_streams(labelled, vector.in_cells(vector.read_segments(spark, streams), transform))
     pairs = written(pairs.select("label", "stream_id"), "pairs")
     kept = labelled.join(pairs.select("label").distinct(), "label", "left_semi")
-    return outlines.outlines(kept).join(pairs, "label").select("label", "value", "stream_id", "rings")
+    attributes, names = vector.read_attributes(spark, streams)
+    told = pairs.join(attributes, "stream_id", "left")
+    rows = outlines.outlines(kept).join(told, "label").select("label", "value", "stream_id", *[c for c, _ in names], "rings")
+    return rows, names, kept.select("r", "c", "label")
 
 
 def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
@@ -81,23 +119,30 @@ def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
     shape, transform, projection = raster.details(spark, cfg.dem_file)
     dx, dy = metric_size(spark, shape, transform)
     log.info("grid of %d x %d cells, %.3f by %.3f metres each", *shape, dx, dy)
-    dem = written(cells_of(spark, cfg.dem_file, "z"), "ground")
+    dem = written(cells_of(spark, cfg.dem_file, "z", cfg.nodata), "ground")
     ensemble, events = flood_events(spark, cfg, dem, dx, dy)
     made = {"dem": dem, "ensemble": ensemble}
     log.info("%d events flooded", events)
-    if cfg.outfld:
-        raster.write_raster(ensemble.select("r", "c", F.col("pct").alias("v")), cfg.outfld, shape, "i4", transform, projection)
+    shown = ensemble
     if cfg.strmshp_file:
-        made["polygons"] = written(flood_polygons(spark, ensemble, cfg.strmshp_file, transform), "outlines")
+        text = common_projection(spark, cfg.strmshp_file, projection)
+        rows, names, kept = flood_polygons(spark, ensemble, cfg.strmshp_file, transform)
+        made["polygons"] = written(rows, "outlines")
         if cfg.outfld:
-            vector.write_polygons(made["polygons"], cfg.outfld[:-4], transform)
+            vector.write_polygons(made["polygons"], cfg.outfld[:-4], transform, [("value", "Value"), ("stream_id", "index_right"), *names], text)
+        if cfg.filter_raster:
+            shown = ensemble.join(kept, ["r", "c"], "left_semi")
+    if cfg.outfld:
+        raster.write_raster(shown.select("r", "c", F.col("pct").alias("v")), cfg.outfld, shape, "i4", transform, projection)
     if cfg.bathy_out_file and cfg.fsoutbathy:
-        if cfg.bathywatermask:
-            water = cells_of(spark, cfg.bathywatermask, "v").select("r", "c", (F.col("v") > 0).cast("int").alias("m"))
+        bathy, water = cells_or_none(spark, cfg.bathy_out_file, "v"), cells_or_none(spark, cfg.bathywatermask, "v")
+        if water is not None:
+            water = water.select("r", "c", (F.col("v") > 0).cast("int").alias("m"))
         else:  # the flood map stands in for a mask
             water = dem.join(ensemble, ["r", "c"], "left").select("r", "c", (F.coalesce("pct", F.lit(0)) > 0).cast("int").alias("m"))
-        bed = written(topobathy.masked(cells_of(spark, cfg.bathy_out_file, "v"), water), "bed")
-        made["topobathy"] = written(topobathy.topobathy(dem, bed, topobathy.neighbour_mean(bed, dx, dy)), "topobathy")
-        raster.write_raster(made["topobathy"].select("r", "c", F.col("z").alias("v")), cfg.fsoutbathy, shape, "f4", transform, projection)
+        if bathy is not None:
+            bed = written(topobathy.masked(bathy, water), "bed")
+            made["topobathy"] = written(topobathy.topobathy(dem, bed, topobathy.neighbour_mean(bed, dx, dy)), "topobathy")
+            raster.write_raster(made["topobathy"].select("r", "c", F.col("z").alias("v")), cfg.fsoutbathy, shape, "f4", transform, projection)
     log.info("took %d seconds", time.monotonic() - began)
     return made

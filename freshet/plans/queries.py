@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from freshet.functions.kernel import in_ellipse, inverse_square, metric_cell_size
 from freshet.operators import components, flood, hydraulics, localfill, topobathy
-from freshet.operators.components import written
+from freshet.plans import files
 from freshet.plans.fixtures import Domain, domain
+from freshet.staging import written
 
 DX = DY = 10.0
 FACTOR, LIMIT, EVENTS, DIGITS = 3.0, 200.0, 3, 4
@@ -185,6 +186,7 @@ BUILD: dict[str, Callable[[Plans], DataFrame]] = {
     "q37_vdt_seeds": lambda p: flood.seeds(p.stream, p.d.dem, hydraulics.vdt_cells(p.vdt), hydraulics.vdt_reaches(p.vdt, p.rf), LIMIT, DX, DY),
     "q38_stamp_means": lambda p: p.stamp.select("event", "r", "c", (F.col("swz") / F.col("sw")).alias("wse"), "sw"),
     "q39_local_flood": lambda p: p.local_flood,
+    **files.BUILD,
 }
 
 

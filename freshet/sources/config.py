@@ -37,6 +37,10 @@ class Config:
     bathywatermask: str = ""
     bathy_out_file: str = ""
     fsoutbathy: str = ""
+    #: Not in older files: leave out cells that the ground marks as empty, show only areas on streams in the raster, put stages in order.
+    nodata: bool = False
+    filter_raster: bool = False
+    sort_stages: bool = False
 
     @classmethod
     def parse(cls, lines: list[str]) -> "Config":

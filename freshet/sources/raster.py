@@ -1,6 +1,7 @@
-"""GeoTIFF rasters: band 1, in strips or tiles, uncompressed or deflated.
+"""GeoTIFF rasters: band 1, in strips or tiles; plain, deflated, LZW, PackBits, LZMA or Zstandard; integer and float differences.
 
-Files are read through ``binaryFile`` and decoded in the executors to cells.  A raster is
+Files are read through ``binaryFile``.  One task cuts a file into its packed strips or tiles, which are then
+dealt out and decoded to cells in parallel.  A raster is
 written as one file: executors encode strips of rows, which the driver only strings together.
 """
 
@@ -16,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators.components import written
+from freshet.staging import written
+
 
 #: Tag numbers and field types of the format (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS, COUNTS, FORMAT, SCALE, TIEPOINT, TRANSFORM, CITATION = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 34264, 34737
-SAMPLES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 277, 284, 317, 322, 323, 324, 325
+SAMPLES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, NODATA = 277, 284, 317, 322, 323, 324, 325, 42113
 PROJECTION = (34735, 34736, 34737)
 SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
@@ -56,31 +58,133 @@ def transform_of(tags: dict[int, tuple[int, tuple]]) -> tuple[float, ...]:
     return (x - i * dx, dx, 0.0, y + j * dy, 0.0, -dy)
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bit first, which widen one code early."""
+    out, table, width, held, bits, last = [], [], 9, 0, 0, b""
+    singles = [bytes([i]) for i in range(256)] + [b"", b""]
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = singles.copy(), 9, b""
+            continue
+        if not table:
+            table = singles.copy()
+        if not last:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else last + last[:1]
+            table.append(last + word[:1])
+            if len(table) >= (1 << width) - 1 and width < 12:
+                width += 1
+        out.append(word)
+        last = word
+    return b"".join(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """PackBits: runs of literal and of repeated bytes."""
+    out, at = [], 0
+    while at < len(data):
+        n, at = data[at], at + 1
+        if n < 128:
+            out.append(data[at : at + n + 1])
+            at += n + 1
+        elif n > 128:
+            out.append(data[at : at + 1] * (257 - n))
+            at += 1
+    return b"".join(out)
+
+
+def unpacked(data: bytes, packed: int) -> bytes:
+    if packed == 1:
+        return data
+    if packed in (8, 32946):
+        return zlib.decompress(data)
+    if packed == 5:
+        return unpack_lzw(data)
+    if packed == 32773:
+        return unpack_bits(data)
+    if packed == 34925:
+        import lzma
+
+        return lzma.decompress(data)
+    if packed == 50000:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    raise ValueError(f"compression {packed} of a raster is not read")
+
+
+def undone(block: np.ndarray, predictor: int) -> np.ndarray:
+    """Values of a block ``(rows, columns, samples)`` whose rows were stored as differences."""
+    if predictor == 1:
+        return block
+    if predictor == 2 and block.dtype.kind in "iu":
+        return np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
+    if predictor == 3 and block.dtype.kind == "f":  # bytes of a row by their weight, the heaviest first, as differences
+        rows, cols, depth = block.shape
+        size = block.dtype.itemsize
+        data = np.cumsum(block.view("u1").reshape(rows, size * cols, depth), axis=1, dtype="u1")
+        planes = data.reshape(rows, size, cols * depth)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, cols, depth)
+    raise ValueError(f"predictor {predictor} of a raster is not read")
+
+
+class Layout:
+    """Where the blocks of band 1 lie in a file and in the grid."""
+
+    def __init__(self, data: bytes):
+        self.order, self.tags = read_tags(data)
+        self.cols, self.rows, self.packed, self.predictor = self.one(WIDTH, 0), self.one(HEIGHT, 0), self.one(COMPRESSION, 1), self.one(PREDICTOR, 1)
+        self.tiled = TILE_OFFSETS in self.tags
+        if not (self.tiled or OFFSETS in self.tags):
+            raise ValueError("the raster has neither strips nor tiles")
+        self.kind = np.dtype(KINDS[self.one(FORMAT, 1), self.one(BITS, 1)]).newbyteorder(self.order)
+        self.offsets, self.counts = (self.tags[t][1] for t in ((TILE_OFFSETS, TILE_COUNTS) if self.tiled else (OFFSETS, COUNTS)))
+        self.high, self.wide = (self.one(TILE_HEIGHT, 0), self.one(TILE_WIDTH, 0)) if self.tiled else (min(self.one(ROWS, self.rows), self.rows), self.cols)
+        self.depth = self.one(SAMPLES, 1) if self.one(PLANAR, 1) == 1 else 1
+        self.across = -(-self.cols // self.wide)
+        self.blocks = self.across * -(-self.rows // self.high)
+        nodata = self.tags.get(NODATA, (2, (b"",)))[1][0].split(b"\0")[0].strip()
+        self.nodata = float(nodata) if nodata else None
+
+    def one(self, tag: int, default: int) -> int:
+        return self.tags.get(tag, (0, (default,)))[1][0]
+
+    def place(self, i: int) -> tuple[int, int]:
+        return i // self.across * self.high, i % self.across * self.wide
+
+    def block(self, data: bytes, i: int) -> bytes:
+        return data[self.offsets[i] : self.offsets[i] + self.counts[i]]
+
+    def how(self) -> tuple[int, int, str, int, int, int]:
+        """All that decoding a block needs, as plain values."""
+        return self.packed, self.predictor, self.kind.str, self.high if self.tiled else 0, self.wide, self.depth
+
+
+def decode_block(data: bytes, r: int, c: int, rows: int, cols: int, packed: int, predictor: int, kind: str, high: int, wide: int, depth: int) -> np.ndarray:
+    """Band 1 of a block that begins at (r, c) of a grid of ``rows`` by ``cols``; ``high`` is zero for strips."""
+    whole = unpacked(data, packed)
+    own = np.dtype(kind)
+    n = high or min(rows - r, len(whole) // (own.itemsize * wide * depth))
+    return undone(np.frombuffer(whole, own, n * wide * depth).reshape(n, wide, depth), predictor)[: rows - r, : cols - c, 0]
+
+
 def decode(data: bytes) -> tuple[np.ndarray, tuple[float, ...]]:
     """Band 1 and the geotransform."""
-    order, tags = read_tags(data)
-    one = lambda tag, default: tags.get(tag, (0, (default,)))[1][0]
-    cols, rows, packed, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    tiled = TILE_OFFSETS in tags
-    if packed not in (1, 8, 32946) or predictor not in (1, 2) or not (tiled or OFFSETS in tags):
-        raise ValueError("only uncompressed or deflated strips and tiles are read")
-    kind = np.dtype(KINDS[one(FORMAT, 1), one(BITS, 1)]).newbyteorder(order)
-    offsets, counts = (tags[t][1] for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (OFFSETS, COUNTS)))
-    high, wide = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS, rows), rows), cols)
-    depth = one(SAMPLES, 1) if one(PLANAR, 1) == 1 else 1
-    across = -(-cols // wide)
-    grid = np.empty((rows, cols), kind)
-    for i in range(across * -(-rows // high)):
-        r, c = i // across * high, i % across * wide
-        block = data[offsets[i] : offsets[i] + counts[i]]
-        block = zlib.decompress(block) if packed != 1 else block
-        n = high if tiled else min(high, rows - r)
-        block = np.frombuffer(block, kind, n * wide * depth).reshape(n, wide, depth)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        part = grid[r : r + high, c : c + wide]
-        part[...] = block[: part.shape[0], : part.shape[1], 0]
-    return grid, transform_of(tags)
+    own = Layout(data)
+    grid = np.empty((own.rows, own.cols), own.kind)
+    for i in range(own.blocks):
+        r, c = own.place(i)
+        part = decode_block(own.block(data, i), r, c, own.rows, own.cols, *own.how())
+        grid[r : r + part.shape[0], c : c + part.shape[1]] = part
+    return grid, transform_of(own.tags)
 
 
 def file_head(shape: tuple[int, int], kind: np.dtype, transform: tuple[float, ...], strip_rows: int, sizes: list[int], deflate: bool, projection: dict[int, tuple[int, tuple]]) -> bytes:
@@ -121,10 +225,11 @@ def encode(grid: np.ndarray, transform: tuple[float, ...], deflate: bool = True)
 
 
 def open_output(path: str):
-    """A stream to a local path or a URI."""
+    """A stream to a local path or a URI; folders are made."""
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    store.create_dir(os.path.dirname(inner), recursive=True)
     return store.open_output_stream(inner, compression=None)
 
 
@@ -147,9 +252,12 @@ def list_rasters(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,img}").load(folder).select("path", "length")
 
 
-def write_raster(cells: DataFrame, path: str, shape: tuple[int, int], kind: str, transform: tuple[float, ...], projection: dict | None = None, fill: float = 0.0, strip_rows: int = 256) -> None:
-    """Write ``(r, c, v)`` as one GeoTIFF; cells that are absent or null hold ``fill``."""
+def write_raster(cells: DataFrame, path: str, shape: tuple[int, int], kind: str, transform: tuple[float, ...], projection: dict | None = None, fill: float = 0.0, strip_rows: int = 256, nodata: float | None = None) -> None:
+    """Write ``(r, c, v)`` as one GeoTIFF; cells that are absent or null hold ``fill``, or ``nodata``, which the file then names."""
     rows, cols = shape
+    more = dict(projection or {})
+    if nodata is not None:
+        fill, more[NODATA] = nodata, (2, (f"{nodata:.17g}".encode() + b"\0",))
     kept = np.dtype(kind).newbyteorder("<")
 
     def packed(strip: int, own: pd.DataFrame | None = None) -> bytes:
@@ -158,7 +266,7 @@ def write_raster(cells: DataFrame, path: str, shape: tuple[int, int], kind: str,
             grid[own["r"].to_numpy() - strip * strip_rows, own["c"].to_numpy()] = own["v"].to_numpy()
         return zlib.compress(grid.tobytes())
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         data = packed(int(key[0]), own)
         return pd.DataFrame({"strip": [int(key[0])], "size": [len(data)], "data": [data]})
 
@@ -169,7 +277,7 @@ def write_raster(cells: DataFrame, path: str, shape: tuple[int, int], kind: str,
     blank = {len_: packed(s) for s in {0, every[-1]} for len_ in [min(strip_rows, rows - s * strip_rows)]}
     blank_of = lambda s: blank[min(strip_rows, rows - s * strip_rows)]
     with open_output(path) as out:
-        out.write(file_head(shape, kept, transform, strip_rows, [sizes.get(s) or len(blank_of(s)) for s in every], True, projection or {}))
+        out.write(file_head(shape, kept, transform, strip_rows, [sizes.get(s) or len(blank_of(s)) for s in every], True, more))
         at = 0
         for x in strips.orderBy("strip").toLocalIterator():
             for s in range(at, x.strip):
@@ -180,15 +288,28 @@ def write_raster(cells: DataFrame, path: str, shape: tuple[int, int], kind: str,
             out.write(blank_of(s))
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, r, c, v)`` of all rasters under a path."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_cells(spark: SparkSession, path: str, nodata: bool = False) -> DataFrame:
+    """``(path, r, c, v)`` of all rasters under a path; with ``nodata`` the cells that a file marks as empty are left out."""
+    packed = "path string, i long, r int, c int, rows int, cols int, packed int, predictor int, kind string, high int, wide int, depth int, empty double, block binary"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                grid, _ = decode(data)
-                for r in range(0, len(grid), 256):
-                    part = grid[r : r + 256]
+                own = Layout(data)
+                for i in range(own.blocks):
+                    yield pd.DataFrame([(name, i, *own.place(i), own.rows, own.cols, *own.how(), own.nodata if nodata else None, own.block(data, i))], columns=[x.split()[0] for x in packed.split(", ")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples(index=False):
+                grid = decode_block(x.block, *(int(v) for v in (x.r, x.c, x.rows, x.cols, x.packed, x.predictor)), x.kind, *(int(v) for v in (x.high, x.wide, x.depth)))
+                step = max(1, (1 << 18) // max(1, grid.shape[1]))
+                for top in range(0, len(grid), step):
+                    part = grid[top : top + step].astype(float)
                     rows, cols = np.indices(part.shape)
-                    yield pd.DataFrame({"path": name, "r": (rows + r).ravel(), "c": cols.ravel(), "v": part.ravel().astype(float)})
+                    out = pd.DataFrame({"path": x.path, "r": (rows + top + x.r).ravel(), "c": (cols + x.c).ravel(), "v": part.ravel()})
+                    yield out if pd.isna(x.empty) else out[out["v"] != x.empty]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, r int, c int, v double")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    blocks = files.mapInPandas(cut, packed).repartition(F.col("path"), F.col("i"))
+    return blocks.mapInPandas(run, "path string, r int, c int, v double")

@@ -1,25 +1,70 @@
-"""Shapefiles: stream lines as segments, flood areas as polygons.
+"""Vector files: stream lines as segments with their attributes, flood areas as polygons.
 
-Files of lines are read through ``binaryFile`` and decoded in the executors.  Polygons
-are encoded in the executors too; the driver strings the records together.
+Shapefiles (with the table beside them) and GeoJSON are read, through ``binaryFile``, and decoded in the executors.  Polygons
+and their table's rows are encoded in the executors too; the driver strings the records together.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators.components import written
 from freshet.sources.raster import open_output
+from freshet.staging import written
 
 #: Shape types of the format (fixed values); the last two of each kind carry heights and measures.
 LINES, POLYGONS = (3, 13, 23), (5, 15, 25)
 CODE, VERSION = 9994, 1000
+#: Columns of a table by what a relation holds: type, width, decimals (fixed values).
+KINDS = {"bigint": (b"N", 20, 0), "int": (b"N", 20, 0), "double": (b"N", 24, 15), "string": (b"C", 254, 0), "boolean": (b"L", 1, 0), "date": (b"D", 8, 0)}
+
+
+def shapefile_parts(data: bytes) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Number of each record with lines or outlines, and its parts."""
+    at, number, end = 100, 0, min(len(data), 2 * struct.unpack_from(">i", data, 24)[0])
+    while at + 8 <= end:
+        size = 2 * struct.unpack_from(">i", data, at + 4)[0]
+        kind = struct.unpack_from("<i", data, at + 8)[0] if size >= 4 else 0
+        if kind in LINES + POLYGONS:
+            n_parts, n_points = struct.unpack_from("<2i", data, at + 44)
+            starts = [*struct.unpack_from(f"<{n_parts}i", data, at + 52), n_points]
+            xy = np.frombuffer(data, "<f8", 2 * n_points, at + 52 + 4 * n_parts).reshape(-1, 2)
+            yield number, [xy[a:b] for a, b in zip(starts, starts[1:])]
+        at, number = at + 8 + size, number + 1
+
+
+def geojson_features(data: bytes) -> list[dict]:
+    top = json.loads(data)
+    return top["features"] if top.get("type") == "FeatureCollection" else [top if top.get("type") == "Feature" else {"geometry": top}]
+
+
+def geojson_parts(data: bytes) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def lines(shape: dict | None) -> list:
+        if not shape:
+            return []
+        if shape["type"] == "GeometryCollection":
+            return [x for s in shape["geometries"] for x in lines(s)]
+        depth = {"LineString": 0, "MultiLineString": 1, "Polygon": 1, "MultiPolygon": 2}.get(shape["type"])
+        found = [] if depth is None else [shape["coordinates"]]
+        for _ in range(depth or 0):
+            found = [x for part in found for x in part]
+        return found
+
+    for number, feature in enumerate(geojson_features(data)):
+        if parts := [np.array([p[:2] for p in x], dtype=float).reshape(-1, 2) for x in lines(feature.get("geometry"))]:
+            yield number, parts
+
+
+def is_geojson(name: str) -> bool:
+    return name.lower().endswith((".geojson", ".json"))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -27,17 +72,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                at, number, end = 100, 0, min(len(data), 2 * struct.unpack_from(">i", data, 24)[0])
-                found = []
-                while at + 8 <= end:
-                    size = 2 * struct.unpack_from(">i", data, at + 4)[0]
-                    kind = struct.unpack_from("<i", data, at + 8)[0] if size >= 4 else 0
-                    if kind in LINES + POLYGONS:
-                        n_parts, n_points = struct.unpack_from("<2i", data, at + 44)
-                        parts = [*struct.unpack_from(f"<{n_parts}i", data, at + 52), n_points]
-                        xy = np.frombuffer(data, "<f8", 2 * n_points, at + 52 + 4 * n_parts).reshape(-1, 2)
-                        found += [np.column_stack([np.full(b - a - 1, number), xy[a : b - 1], xy[a + 1 : b]]) for a, b in zip(parts, parts[1:]) if b - a > 1]
-                    at, number = at + 8 + size, number + 1
+                records = geojson_parts(data) if is_geojson(name) else shapefile_parts(data)
+                found = [np.column_stack([np.full(len(xy) - 1, number), xy[:-1], xy[1:]]) for number, parts in records for xy in parts if len(xy) > 1]
                 if found:
                     out = pd.DataFrame(np.vstack(found), columns=["stream_id", "x0", "y0", "x1", "y1"]).astype({"stream_id": "int64"})
                     out.insert(0, "path", name)
@@ -46,35 +82,156 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, stream_id long, x0 double, y0 double, x1 double, y1 double")
 
 
+def table_fields(data: bytes) -> list[tuple[str, str, int, int]]:
+    """Name, kind, place and width of each column of a shapefile's table."""
+    (head,) = struct.unpack_from("<H", data, 8)
+    out, place = [], 1
+    for at in range(32, head - 1, 32):
+        if data[at] == 0x0D:
+            break
+        name = data[at : at + 11].split(b"\0")[0].decode("latin-1")
+        letter, width, decimals = chr(data[at + 11]), data[at + 16], data[at + 17]
+        kind = {"L": "boolean", "D": "date"}.get(letter, "string")
+        if letter in "NF":
+            kind = "double" if decimals or letter == "F" or width > 18 else "bigint"
+        out.append((name, kind, place, width))
+        place += width
+    return out
+
+
+def table_rows(data: bytes) -> Iterator[list[str | None]]:
+    """Cells of each record as text that casts to its kind."""
+    n, head, size = struct.unpack_from("<IHH", data, 4)
+    fields = table_fields(data)
+    for i in range(n):
+        row = data[head + i * size : head + (i + 1) * size]
+        cells: list[str | None] = []
+        for _, kind, place, width in fields:
+            raw = row[place : place + width]
+            try:
+                text = raw.decode("utf-8")
+            except UnicodeDecodeError:
+                text = raw.decode("latin-1")
+            text = text.strip(" \0")
+            if kind == "date":
+                text = f"{text[:4]}-{text[4:6]}-{text[6:8]}" if len(text) == 8 else ""
+            elif kind == "boolean":
+                text = {"T": "true", "Y": "true", "F": "false", "N": "false"}.get(text.upper(), "")
+            cells.append(text or None)
+        yield cells
+
+
+def json_kind(values: list) -> str:
+    known = [type(v) for v in values if v is not None]
+    if known and all(t is bool for t in known):
+        return "boolean"
+    if known and all(t is int for t in known):
+        return "bigint"
+    return "double" if known and all(t in (int, float) for t in known) else "string"
+
+
+def read_attributes(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``(stream_id, a0, a1, ...)`` of a file's records, and the column and name of each attribute; none if there is no table."""
+    table = path if is_geojson(path) else re.sub(r"(?i)\.shp$", "", path) + ".dbf"
+    try:
+        files = spark.read.format("binaryFile").load(table).select("content")
+    except AnalysisException:
+        return spark.createDataFrame([], "stream_id long"), []
+
+    def of_geojson(data: bytes) -> tuple[list[tuple[str, str]], Iterator[list]]:
+        own = [f.get("properties") or {} for f in geojson_features(data)]
+        names = list(dict.fromkeys(k for x in own for k in x))
+        text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
+        return [(n, json_kind([x.get(n) for x in own])) for n in names], ([text(x.get(n)) for n in names] for x in own)
+
+    def content(data: bytes) -> tuple[list[tuple[str, str]], Iterator[list]]:
+        return of_geojson(data) if is_geojson(table) else ([f[:2] for f in table_fields(data)], table_rows(data))
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                yield pd.DataFrame(content(data)[0], columns=["name", "kind"])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                cells = list(content(data)[1])
+                yield pd.DataFrame({"stream_id": range(len(cells)), "cells": cells})
+
+    fields = [(f"a{i}", x.name, x.kind) for i, x in enumerate(files.mapInPandas(names, "name string, kind string").collect())]  # a row for each column
+    found = files.mapInPandas(rows, "stream_id long, cells array<string>")
+    return found.select("stream_id", *[F.get("cells", F.lit(i)).try_cast(kind).alias(column) for i, (column, _, kind) in enumerate(fields)]), [(column, name) for column, name, _ in fields]
+
+
+def read_projection(spark: SparkSession, path: str) -> str | None:
+    """The reference system that a shapefile states beside it; GeoJSON's is fixed."""
+    if is_geojson(path):
+        return "EPSG:4326"
+    try:
+        return spark.read.text(re.sub(r"(?i)\.shp$", "", path) + ".prj", wholetext=True).first().value
+    except (AnalysisException, AttributeError):
+        return None
+
+
 def in_cells(segment: DataFrame, transform: tuple[float, ...]) -> DataFrame:
     """Segments in units of cells: x along columns, y along rows."""
     x0, dx, _, y0, _, dy = transform
     return segment.select("stream_id", *[((F.col(c) - o) / d).alias(c) for c, o, d in (("x0", x0, dx), ("y0", y0, dy), ("x1", x0, dx), ("y1", y0, dy))])
 
 
-def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fields: tuple[str, ...] = ("value", "stream_id")) -> None:
-    """Write ``(label, *fields, rings)`` to ``<path>.shp``, ``.shx`` and ``.dbf``, a record for each row.
+def short_names(names: list[str]) -> list[bytes]:
+    """Names as a table can hold them: ten bytes, each once."""
+    out: list[bytes] = []
+    for name in names:
+        short, n = name.encode("utf-8", "replace")[:10].decode("utf-8", "ignore").encode(), 0
+        while short in out:
+            n += 1
+            short = f"{name[: 9 - len(str(n))]}_{n}".encode()[:10]
+        out.append(short)
+    return out
+
+
+def table_cell(value, kind: str) -> bytes:
+    """A value as a table's cell; text beyond the format's 254 bytes is cut at a character."""
+    letter, width, _ = KINDS[kind]
+    if value is None or value != value:
+        text = b"?" if letter == b"L" else b""
+    elif letter == b"L":
+        text = b"T" if value else b"F"
+    elif letter == b"D":
+        text = value.strftime("%Y%m%d").encode()
+    elif letter == b"C":
+        text = str(value).encode()[:width].decode("utf-8", "ignore").encode()
+    else:
+        text = (f"{value:.15g}" if kind == "double" else str(int(value))).encode()
+    return text.ljust(width) if letter == b"C" else text.rjust(width)
+
+
+def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fields: list[tuple[str, str]] | None = None, projection: str | None = None) -> None:
+    """Write ``(label, columns, rings)`` to ``<path>.shp``, ``.shx``, ``.dbf`` and, if known, ``.prj``, a record for each row.
 
-    ``rings`` holds arrays of ``(r, c)`` corners; ``path`` lacks its suffix.
+    ``rings`` holds arrays of ``(r, c)`` corners; ``path`` lacks its suffix; ``fields`` are the columns and their names in the table.
     """
     x0, dx, _, y0, _, dy = transform
+    fields = fields or [("value", "Value"), ("stream_id", "index_right")]
+    types = dict(rings.dtypes)
+    kinds = [types[c] if types[c] in KINDS else "string" for c, _ in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for shape in batch["rings"]:
+            for label, cells, shape in zip(batch["label"], batch["cells"], batch["rings"]):
                 own = [np.array([(x0 + dx * p["c"], y0 + dy * p["r"]) for p in ring], "<f8") for ring in shape]
                 points = np.vstack(own)
                 box = [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()]
                 starts = np.cumsum([0, *map(len, own[:-1])]).astype("<i4")
                 data = struct.pack("<i4d2i", POLYGONS[0], *box, len(own), len(points)) + starts.tobytes() + points.tobytes()
-                out.append((len(data), data, *box))
-            head = batch.drop(columns="rings").reset_index(drop=True)
-            yield pd.concat([head, pd.DataFrame(out, columns=["size", "data", "x_min", "y_min", "x_max", "y_max"])], axis=1)
+                row = b" " + b"".join(table_cell(cells[f"f{i}"], kind) for i, kind in enumerate(kinds))
+                out.append((label, len(data), data, row, *box))
+            yield pd.DataFrame(out, columns=["label", "size", "data", "row", "x_min", "y_min", "x_max", "y_max"])
 
-    asked = rings.select("label", *[F.col(f).cast("long").alias(f) for f in fields], "rings")
-    schema = f"label long, {''.join(f'{f} long, ' for f in fields)}size long, data binary, x_min double, y_min double, x_max double, y_max double"
-    records = written(asked.mapInPandas(run, schema), "polygons")
+    asked = rings.select("label", F.struct(*[F.col(c).cast(kind).alias(f"f{i}") for i, ((c, _), kind) in enumerate(zip(fields, kinds))]).alias("cells"), "rings")
+    records = written(asked.mapInPandas(run, "label long, size long, data binary, row binary, x_min double, y_min double, x_max double, y_max double"), "polygons")
     n, total, *box = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), *[F.coalesce(f(c), F.lit(0.0)) for f, c in ((F.min, "x_min"), (F.min, "y_min"), (F.max, "x_max"), (F.max, "y_max"))]).first()
     if 100 + 8 * n + total >= 2**31:
         raise ValueError("a shapefile holds 2 GB at most; keep such areas as tables")
@@ -82,15 +239,18 @@ def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fi
     def head(size: int) -> bytes:
         return struct.pack(">7i", CODE, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", VERSION, POLYGONS[0], *box, 0, 0, 0, 0)
 
-    width, at = 20, 100
-    columns = b"".join(f.encode()[:10].ljust(11, b"\0") + b"N" + b"\0" * 4 + bytes([width, 0]) + b"\0" * 14 for f in fields)
+    columns = b"".join(name.ljust(11, b"\0") + KINDS[kind][0] + b"\0" * 4 + bytes(KINDS[kind][1:]) + b"\0" * 14 for name, kind in zip(short_names([x for _, x in fields]), kinds))
+    at = 100
     with open_output(path + ".shp") as shp, open_output(path + ".shx") as shx, open_output(path + ".dbf") as dbf:
         shp.write(head(100 + 8 * n + total))
         shx.write(head(100 + 8 * n))
-        dbf.write(struct.pack("<4BIHH20x", 3, 100, 1, 1, n, 33 + len(columns), 1 + width * len(fields)) + columns + b"\r")
-        for i, x in enumerate(records.orderBy("label", *fields).toLocalIterator()):
+        dbf.write(struct.pack("<4BIHH20x", 3, 100, 1, 1, n, 33 + len(columns), 1 + sum(KINDS[k][1] for k in kinds)) + columns + b"\r")
+        for i, x in enumerate(records.orderBy("label", "row").toLocalIterator()):
             shp.write(struct.pack(">2i", i + 1, x.size // 2) + bytes(x.data))
             shx.write(struct.pack(">2i", at // 2, x.size // 2))
-            dbf.write(b" " + b"".join(str(x[f] if x[f] is not None else "").rjust(width).encode() for f in fields))
+            dbf.write(bytes(x.row))
             at += 8 + x.size
         dbf.write(b"\x1a")
+    if projection:
+        with open_output(path + ".prj") as prj:
+            prj.write(projection.encode())
