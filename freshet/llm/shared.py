@@ -3,42 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session has none and all runs on one machine a temporary one is made.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        current = spark.sparkContext.getCheckpointDir()
-        place = os.path.dirname(current) if current else None
-    if not place:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="freshet-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder path under the shared one."""
-    return f"{shared_dir(spark)}/freshet-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from freshet.staging import new_folder, shared_dir, written as staged  # noqa: F401
 
 
 def filesystem(path: str):

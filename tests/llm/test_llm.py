@@ -310,17 +310,3 @@ def test_normaliser_splits_a_monolithic_stream():
     assert [zlib.decompress(data[o : o + n], 31) for o, n, _ in index] == records
     with pytest.raises(EOFError):
         warc.normalise(io.BytesIO(gzip.compress(b"".join(records))[:-20]), io.BytesIO())
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = corpus_pipeline.quality_rules(spark, docs, SF)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    first = corpus_pipeline.near_duplicates(spark, docs, SF)
-    values = {r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}
-    keys = sorted(values)
-    roots = brute_components([values[k] for k in keys])
-    assert sorted(r.doc_id for r in first.collect()) == sorted({keys[i] for i in roots})
-    assert {"doc_id", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SF).columns)
