@@ -6,7 +6,8 @@ possible values by their distance to a vantage value.  A fingerprint lives in on
 of each tree and visits the later leaves that the triangle bound can't rule out
 (``|d(v, x) - d(v, y)| <= d(x, y)``), so every pair meets in some leaf,
 where whole fingerprints are compared.  The trees depend on nothing but their
-depth, which grows with the number of fingerprints so that leaves stay small.
+depth, which grows with the number of fingerprints so that leaves stay small; beyond
+33 million there are three segments of 21 or 22 bits and a leaf for every value.
 Leaves above ``leaf_rows`` are split into blocks that are compared block by block.
 A task returns a spanning forest of its links, never all pairs.
 
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 class VantageTree:
     """A vantage-point tree over all values of a segment; leaves are numbered from left to right."""
 
-    _made: dict[int, "VantageTree"] = {}
+    _made: dict[tuple[int, int], "VantageTree"] = {}
 
     def __init__(self, depth: int, width: int = 16, radius: int = RADIUS):
         self.width, self.radius = width, radius
@@ -115,29 +116,60 @@ class VantageTree:
         self.visits[0].append(visiting[near])
         self.visits[1].append(np.full(int(near.sum()), leaf, dtype=np.int32))
 
+    def routes(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf where each value lives; and, as positions in ``value`` and leaves, those it visits."""
+        n = self.first[value + 1] - self.first[value]
+        row = np.repeat(np.arange(len(value)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        return self.home[value], row, self.leaf[self.first[value][row] + within]
+
     @classmethod
-    def of(cls, depth: int) -> "VantageTree":
-        if depth not in cls._made:
-            cls._made[depth] = cls(depth)
-        return cls._made[depth]
+    def of(cls, depth: int, width: int = 16) -> "VantageTree":
+        if (depth, width) not in cls._made:
+            cls._made[depth, width] = WholeTree(width) if depth >= width else cls(depth, width)
+        return cls._made[depth, width]
+
+
+class WholeTree(VantageTree):
+    """The tree grown until every leaf is one value, in the order of values; it needs no table.
+
+    A value visits the leaves of the greater values within one bit.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.leaves = width, 1 << width
+
+    def routes(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bits = np.int64(1) << np.arange(self.width)
+        row, bit = np.nonzero((value[:, None] & bits) == 0)
+        return value, row, value[row] | bits[bit]
+
+
+def layout(n: int, aim: int = 512) -> tuple[tuple[int, ...], int]:
+    """Widths of the segments and the trees' depth for ``n`` fingerprints.
+
+    Of four segments one is within a bit.  So is one of three (four bits on three), whose trees go deeper at about as many visits;
+    they serve where leaves of one 16-bit value would hold more than ``aim``.
+    """
+    if n > aim << 16:
+        return (22, 21, 21), 22
+    return (16,) * SEGMENTS, min(16, max(0, round(np.log2(max(1, n) / aim))))
 
 
-def routed(distinct: DataFrame, depth: int) -> DataFrame:
+def routed(distinct: DataFrame, widths: tuple[int, ...], depth: int) -> DataFrame:
     """``(segment, leaf, fp, home)``: every fingerprint in the leaves where it lives or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = VantageTree.of(depth)
         for batch in batches:
             whole = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(whole), 20_000):
                 fp = whole[at : at + 20_000]
-                for segment in range(SEGMENTS):
-                    value = ((fp.view("<u8") >> np.uint64(16 * segment)) & np.uint64(0xFFFF)).astype(np.int64)
-                    n = tree.first[value + 1] - tree.first[value]
-                    row = np.repeat(np.arange(len(fp)), n)
-                    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    visited = tree.leaf[tree.first[value][row] + within]
-                    leaf = np.concatenate([tree.home[value], visited]).astype("i8")
+                shift = 0
+                for segment, width in enumerate(widths):
+                    value = ((fp.view("<u8") >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    shift += width
+                    home, row, visited = VantageTree.of(depth, width).routes(value)
+                    leaf = np.concatenate([home, visited]).astype("i8")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(leaf), segment, "i8")), pa.array(leaf), pa.array(np.concatenate([fp, fp[row]])), pa.array(np.arange(len(leaf)) < len(fp))],
                         ["segment", "leaf", "fp", "home"],
@@ -183,8 +215,7 @@ def linked(fps: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int = BIT
 
 def links(distinct: DataFrame, n: int, leaf_rows: int = 8192, aim: int = 512) -> DataFrame:
     """``(u, v)``: links that join just the fingerprints that are joined by some chain of near pairs."""
-    depth = min(16, max(0, round(np.log2(max(1, n) / aim))))
-    rows = staged(routed(distinct, depth), "routed")
+    rows = staged(routed(distinct, *layout(n, aim)), "routed")
     large = rows.where("home").groupBy("segment", "leaf").count().where(F.col("count") > leaf_rows).select("segment", "leaf", F.ceil(F.col("count") / leaf_rows).alias("blocks"))
     rows = rows.join(large, ["segment", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -196,7 +227,7 @@ def links(distinct: DataFrame, n: int, leaf_rows: int = 8192, aim: int = 512) ->
         F.when(~F.col("home"), 2).when(F.col("block") <= F.col("facing"), 0).otherwise(1).cast("long").alias("side"),
     )
 
-    def meet(key, part: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("fp", kind="stable")
         fps, side = part["fp"].to_numpy(), part["side"].to_numpy()
         first, other = np.flatnonzero(side == 0), np.flatnonzero(side > 0)

@@ -201,7 +201,7 @@ def test_simhash_components(spark, odd):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("leaf_rows,aim", [(8192, 512), (40, 64)])
+@pytest.mark.parametrize("leaf_rows,aim", [(8192, 512), (40, 64), (8192, 0)])
 def test_vantage_trees_lose_no_link(spark, leaf_rows, aim):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, size=150, dtype=np.int64)
