@@ -59,18 +59,21 @@ def areas(cells: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def min_components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for nodes with edges: minimum over neighbours, then over the neighbour's root."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    roots = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).select(F.col("u").alias("node"), "root"), "roots")
+    """``(node, root)`` for nodes with edges: minimum over neighbours, then over the neighbour's root.
+
+    Each turn writes which roots have changed, and ends when none has.
+    """
+    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    roots = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "roots")
     while True:
         near = both.join(roots, both["v"] == roots["node"]).groupBy("u").agg(F.min("root").alias("m"))
-        step = roots.join(near, roots["node"] == near["u"]).select("node", F.least("root", "m").alias("root"))
+        step = roots.join(near, roots["node"] == near["u"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"))
+        new = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
         new = written(new, "roots")
-        if new.exceptAll(roots).isEmpty():
-            return new
-        roots = new
+        if new.where("root <> old").isEmpty():
+            return new.select("node", "root")
+        roots = new.select("node", "root")
 
 
 def crossed_cells(segment: DataFrame) -> DataFrame:

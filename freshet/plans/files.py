@@ -98,11 +98,61 @@ def whole_run(p) -> DataFrame:
     """The flood raster that a run over files writes, cells above zero."""
     spark = p.d.dem.sparkSession
     out = f"{folder(p.d.dem)}/flood.tif"
-    cfg = Config(dem_file=grid_file(p.d.dem), print_curve_file=curve_file(p.d.curve), comid_flow_file=flow_file(p.d.flow), outfld=out, topwidthplausiblelimit=200.0, nodata=True)
+    cfg = Config(dem_file=grid_file(p.d.dem), print_curve_file=curve_file(p.d.curve), comid_flow_file=flow_file(p.d.flow), outfld=out, topwidthplausiblelimit=200.0, nodata=True, q_fraction=0.5)  # the fraction changes nothing
     pipeline.run(spark, cfg)
     return raster.read_cells(spark, out).where("v > 0").select("r", "c", F.col("v").cast("int").alias("pct"))
 
 
+def cells_file(cells: DataFrame, like: DataFrame, kind: str = "f8") -> str:
+    """``(r, c, v)`` as a GeoTIFF of the size of the ground."""
+    size = like.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    path = f"{folder(like)}/cells.tif"
+    raster.write_raster(cells, path, (size.r + 1, size.c + 1), kind, PLACE)
+    return path
+
+
+def topobathy_file(p) -> DataFrame:
+    """The surface with bathymetry that a run writes, as 32-bit floats."""
+    spark, dem = p.d.dem.sparkSession, p.d.dem
+    out = f"{folder(dem)}/topo.tif"
+    mask = p.d.watermask.select("r", "c", F.col("m").alias("v"))
+    cfg = Config(dem_file=grid_file(dem), nodata=True, stream_file=cells_file(p.stream.select("r", "c", F.col("comid").alias("v")), dem, "i4"), set_depth=0.1, topwidthplausiblelimit=20.0, bathy_out_file=cells_file(p.d.bathy, dem), bathywatermask=cells_file(mask, dem, "u1"), fsoutbathy=out)
+    pipeline.run(spark, cfg)
+    return raster.read_cells(spark, out).select("r", "c", F.col("v").alias("z")).join(dem.select("r", "c"), ["r", "c"], "left_semi")
+
+
+def fixed_depth_run(p) -> DataFrame:
+    """The flood of one depth everywhere, stream cells from a raster."""
+    spark, dem = p.d.dem.sparkSession, p.d.dem
+    out = f"{folder(dem)}/flood.tif"
+    stream = cells_file(p.stream.select("r", "c", F.col("comid").alias("v")), dem, "i4")
+    pipeline.run(spark, Config(dem_file=grid_file(dem), nodata=True, stream_file=stream, set_depth=0.1, topwidthplausiblelimit=200.0, outfld=out))
+    return raster.read_cells(spark, out).where("v > 0").select("r", "c", F.col("v").cast("int").alias("pct"))
+
+
+def listed(p) -> DataFrame:
+    """Names of the rasters of a folder."""
+    dem = p.d.dem
+    home = grid_file(dem).rsplit("/", 1)[0]
+    for name in ("b.img", "c.txt", "d.tif"):
+        with raster.open_output(f"{home}/{name}") as out:
+            out.write(b"x")
+    return raster.list_rasters(dem.sparkSession, home).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def counts(p) -> DataFrame:
+    """Lines, reaches with the least and greatest id, events and seeds."""
+    lines = p.d.curve.agg(F.count("*").alias("n_lines"))
+    reach = p.stream.agg(F.count_distinct("comid").alias("n_reaches"), F.min("comid").alias("min_id"), F.max("comid").alias("max_id"))
+    events = p.rf.agg(F.count_distinct("event").alias("n_events"))
+    seeds = p.seeds.agg(F.count("*").alias("n_seeds"))
+    one = F.lit(1).alias("one")
+    out = lines.withColumn("one", one)
+    for other in (reach, events, seeds):
+        out = out.join(other.withColumn("one", one), "one")  # a row on either side
+    return out.drop("one")
+
+
 BUILD = {
     "q40_grid_file": grid_rows,
     "q41_curve_file": curve_rows,
@@ -111,4 +161,8 @@ BUILD = {
     "q44_polygon_file": polygon_rows,
     "q45_whole_run": whole_run,
     "q46_grid_details": grid_details,
+    "q47_counts": counts,
+    "q48_topobathy_file": topobathy_file,
+    "q49_raster_list": listed,
+    "q50_fixed_depth_run": fixed_depth_run,
 }

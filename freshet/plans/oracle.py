@@ -28,14 +28,18 @@ def two_sigma(source: str, column: str) -> str:
     return f"SELECT x.* FROM {source} x JOIN (SELECT event, avg({column}) m, stddev_samp({column}) s FROM {source} GROUP BY event) USING (event) WHERE {column} BETWEEN m - 2 * s AND m + 2 * s"
 
 
-def topo(w: str) -> str:
-    return f"""filled AS (
+def topo_rows(w: str) -> str:
+    return f"""SELECT r, c, CASE WHEN v > 0 THEN v WHEN v = 0 AND f > 0 THEN f ELSE z END AS raw
+FROM dem LEFT JOIN bed USING (r, c) LEFT JOIN (
   SELECT t.r, t.c, sum(s.v * {w}) / sum({w}) AS f
   FROM (SELECT r, c FROM bed WHERE v = 0) t JOIN (SELECT r AS sr, c AS sc, v FROM bed WHERE v > 0) s
     ON s.sr BETWEEN t.r - 19 AND t.r + 19 AND s.sc BETWEEN t.c - 19 AND t.c + 19
   WHERE (sr - t.r) * (sr - t.r) + (sc - t.c) * (sc - t.c) <= 361 GROUP BY t.r, t.c
-) SELECT r, c, round(CASE WHEN v > 0 THEN v WHEN v = 0 AND f > 0 THEN f ELSE z END, 4) AS z
-FROM dem LEFT JOIN bed USING (r, c) LEFT JOIN filled USING (r, c)"""
+) USING (r, c)"""
+
+
+def topo(w: str) -> str:
+    return f"SELECT r, c, round(raw, 4) AS z FROM ({topo_rows(w)})"
 
 
 def sweeps() -> dict[str, str]:
@@ -182,4 +186,13 @@ ORACLE_SQL: dict[str, str] = {
     "q44_polygon_file": with_ctes("crossed", "SELECT value, stream_id, cells FROM (SELECT DISTINCT label, value, stream_id FROM area JOIN crossed USING (r, c)) JOIN (SELECT label, count(*) AS cells FROM area WHERE value > 0 GROUP BY label) USING (label)"),
     "q45_whole_run": with_ctes("ens", "SELECT r, c, pct FROM ens WHERE pct > 0"),
     "q46_grid_details": with_ctes("dem", "SELECT max(r) + 1 AS n_rows, max(c) + 1 AS n_cols, 10e0 AS dx, -10e0 AS dy, 1000e0 AS minx, 5000e0 - (max(r) + 1) * 10e0 AS miny, 1000e0 + (max(c) + 1) * 10e0 AS maxx, 5000e0 AS maxy FROM dem"),
+    "q47_counts": with_ctes("seed", "SELECT (SELECT count(*) FROM curve) AS n_lines, (SELECT count(DISTINCT comid) FROM stream) AS n_reaches, (SELECT min(comid) FROM stream) AS min_id, (SELECT max(comid) FROM stream) AS max_id, (SELECT count(DISTINCT event) FROM rf) AS n_events, (SELECT count(*) FROM seed) AS n_seeds"),
+    "q48_topobathy_file": with_ctes("bed", f"SELECT r, c, round(raw::FLOAT::DOUBLE, 4) AS z FROM ({topo_rows(weight('(sr - t.r)', '(sc - t.c)'))})"),
+    "q49_raster_list": "SELECT unnest(['b.img', 'd.tif', 'dem.tif']) AS name",
+    "q50_fixed_depth_run": with_ctes("stream", f"""SELECT r, c, 100 AS pct FROM (
+      SELECT r, c FROM (
+        SELECT r + dr AS r, c + dc AS c, sum(wse * {weight()}) / sum({weight()}) AS level FROM (
+          SELECT s.r, s.c, z + 0.1e0 AS wse, 20 AS k, dr, dc FROM stream s JOIN dem USING (r, c), (SELECT unnest(range(-20, 21)) AS dr), (SELECT unnest(range(-20, 21)) AS dc))
+        WHERE {ELLIPSE.format(dx='10e0', dy='10e0')} GROUP BY r + dr, c + dc) JOIN dem USING (r, c) WHERE level > z
+      UNION SELECT r, c FROM stream)"""),
 }
