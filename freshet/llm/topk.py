@@ -195,13 +195,13 @@ def search(tree: BallTree, keys: np.ndarray, uids: np.ndarray, q: np.ndarray, q_
 
 
 def partition_trees(rows: DataFrame, shard_rows: int, sample_rows: int, most_cells: int) -> dict[int, Cells]:
-    """Trees of the lengths with most vectors, from a sample of at most about ``sample_rows`` rows in all."""
+    """Trees of the lengths with most vectors, from a sample of at most about ``sample_rows`` rows and 100 numbers for each of these."""
     counts = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(64).collect()}
     large = [d for d, n in counts.items() if n > shard_rows]
     if not large:
         return {}
     parts = 1 << 30
-    share = min(parts, int(parts * sample_rows / sum(counts[d] for d in large)))
+    share = min(parts, int(parts * sample_rows / max(sum(counts[d] for d in large), sum(counts[d] * d for d in large) / 100)))
     drawn = rows.where(F.col("dim").isin(large) & (F.pmod(F.xxhash64("uid"), F.lit(parts)) < share)).select("dim", "vec").collect()
     trees = {}
     for d in large:
@@ -235,9 +235,10 @@ def top_k(df: DataFrame, queries: str, k: int = 20, scale: float = 64.0, id_colu
     ``queries`` is a SQL condition on ``key``.  A shard goes to one task with the
     blocks of queries streaming past it, so memory is bounded by a shard and a block.
     """
-    rows = staged(integer_vectors(df, id_column, vector_column, scale).withColumn("dim", F.size("vec")), "vectors")
+    rows = integer_vectors(df, id_column, vector_column, scale).withColumn("dim", F.size("vec"))
     trees = partition_trees(rows, shard_rows, sample_rows, most_cells)
-    placed = staged(in_cells(rows, trees), "cells")
+    placed = in_cells(rows, trees) if trees else rows.withColumns({"cell": F.lit(0).cast("long"), "away": F.lit(0.0)})
+    placed = staged(placed.select("dim", "uid", "key", "vec", "cell", "away"), "cells")
     parts = lambda n, most: F.ceil(F.col(n) / most)
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if(F.expr(queries)).alias("asked"), F.max("away").alias("radius"))
     cells = staged(cells.select("dim", "cell", "radius", parts("n", shard_rows).alias("pieces"), F.greatest(parts("asked", block_rows), F.lit(1)).alias("blocks")), "balls")
