@@ -10,8 +10,8 @@ blocks they touch.
 Contract
 --------
 Null text counts as empty (the end id only).  Files follow the order of the
-keys, null keys first; equal keys stand beside each other in the order of their
-texts.  An empty table gives no file and no row.  Extra columns are left out.
+keys, null keys first; equal keys stand beside each other in the order of a hash of their
+texts, and may go on in the next file, however many they are.  An empty table gives no file and no row.  Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, filesystem, groups_by_size, new_folder, only, publish
+from .shared import documents, filesystem, groups_by_size, lean, new_folder, only, publish, sliced
 from .tokenise import encoder_of
 
 MAGIC = b"FRBP0001"
@@ -129,12 +129,15 @@ class BitFile:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, id_column: str = "doc_id", text_column: str = "text") -> list[tuple[str, int, int]]:
     """Encode and write; returns (path, documents, ids) of each file in the order of keys.
 
-    One range shuffle by key; a file is a partition, written under a name of its
+    One range shuffle by key, then by a hash of the text and the row's number, so no key is too
+    many rows for one file; a file is a partition, written under a name of its
     own and moved into place, so a lost task writes it again.
     """
     narrow = only(docs, key=id_column, text=text_column)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = narrow.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc(), F.col("row").asc()]
+    numbered = narrow.withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
     bits = bits_for(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +145,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         path = f"{folder}/part-{part:06d}.tokens"
         encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
+        batches = sliced(batches)
         batch = next(batches, None)
         while batch is not None and not batch.num_rows:
             batch = next(batches, None)
@@ -166,7 +170,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         publish(path, write)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [made["docs"]], "ids": [made["ids"]]})
 
-    files = ordered.mapInArrow(run, "part long, path string, docs long, ids long").collect()  # a row for each file
+    files = ordered.mapInArrow(lean(run), "part long, path string, docs long, ids long").collect()  # a row for each file
     return [(f.path, f.docs, f.ids) for f in sorted(files)]
 
 
@@ -190,7 +194,7 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]], id_
                     keys = pa.array(file.keys[a:b], pa.int64(), mask=file.null[a:b].astype(bool))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(starts[:-1] + base, pa.int64()), pa.array(data, pa.binary())], ["key", "start", "ids"])
 
-    return listed.mapInArrow(run, "key long, start long, ids binary").withColumnRenamed("key", id_column)
+    return listed.mapInArrow(lean(run), "key long, start long, ids binary").withColumnRenamed("key", id_column)
 
 
 def op9_bitpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
