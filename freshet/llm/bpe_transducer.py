@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, groups_by_size, only
+from .shared import documents, groups_by_size, lean, only
 from .wordcache import ChunkEncoder
 
 #: How the public vocabularies used here pre-split a text (fixed value).
@@ -205,25 +205,62 @@ class Transducer:
         return out
 
 
+#: First bytes of UTF-8 characters and the ranges of the bytes that must follow (fixed values).
+UTF8 = [
+    (0x00, 0x7F, ()),
+    (0xC2, 0xDF, ((0x80, 0xBF),)),
+    (0xE0, 0xE0, ((0xA0, 0xBF), (0x80, 0xBF))),
+    (0xE1, 0xEC, ((0x80, 0xBF), (0x80, 0xBF))),
+    (0xED, 0xED, ((0x80, 0x9F), (0x80, 0xBF))),
+    (0xEE, 0xEF, ((0x80, 0xBF), (0x80, 0xBF))),
+    (0xF0, 0xF0, ((0x90, 0xBF), (0x80, 0xBF), (0x80, 0xBF))),
+    (0xF1, 0xF3, ((0x80, 0xBF), (0x80, 0xBF), (0x80, 0xBF))),
+    (0xF4, 0xF4, ((0x80, 0x8F), (0x80, 0xBF), (0x80, 0xBF))),
+]
+
+
+def utf8_machine() -> list[list[int]]:
+    """Next state by state and byte; state 0 lies between characters, -1 is an error.
+
+    A state stands for the ranges of the bytes still to come.
+    """
+    number: dict[tuple, int] = {(): 0}
+    for _, _, rest in UTF8:
+        for i in range(len(rest)):
+            number.setdefault(rest[i:], len(number))
+    steps = [[-1] * 256 for _ in number]
+    for low, high, rest in UTF8:
+        steps[0][low : high + 1] = [number[rest]] * (high + 1 - low)
+    for rest, state in number.items():
+        if rest:
+            (low, high), *more = rest
+            steps[state][low : high + 1] = [number[tuple(more)]] * (high + 1 - low)
+    return steps
+
+
 class Utf8Stream:
     """Incremental UTF-8 state machine: text of whole characters as bytes arrive.
 
-    Its state is the unfinished character at the end of what has been fed, at
-    most three bytes.
+    Between calls it holds the bytes of a character that has begun without ending, at most
+    three.  Only the last three bytes of what arrives can begin one, so the machine starts there.
     """
 
+    STEPS = utf8_machine()
+
     def __init__(self, errors: str = "replace"):
         self.held, self.errors = b"", errors
 
-    @staticmethod
-    def unfinished(data: bytes) -> int:
+    @classmethod
+    def unfinished(cls, data: bytes) -> int:
         """How many bytes at the end begin a character without ending it."""
+        if not data or data[-1] < 0x80:
+            return 0
         for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 == 0x80:
-                continue
-            need = 1 if byte >= 0xF8 else 4 if byte >= 0xF0 else 3 if byte >= 0xE0 else 2 if byte >= 0xC0 else 1
-            return back if need > back else 0
+            if data[-back] & 0xC0 != 0x80:
+                state = 0
+                for byte in data[-back:]:
+                    state = cls.STEPS[state][byte] if state >= 0 else -1
+                return back if state > 0 else 0
         return 0
 
     def feed(self, data: bytes) -> str:
@@ -279,7 +316,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text
     """
     narrow = only(docs, key=id_column, text=text_column)
     schema = f"key {narrow.schema['key'].dataType.simpleString()}, ids binary"
-    return narrow.mapInArrow(lambda batches: encoded_batches(batches, ranks_path), schema).withColumnRenamed("key", id_column)
+    return narrow.mapInArrow(lean(lambda batches: encoded_batches(batches, ranks_path)), schema).withColumnRenamed("key", id_column)
 
 
 def decoder(ranks_path: str, as_bytes: bool = False, block: int = 65536) -> Callable[[bytes | None], str]:
@@ -314,7 +351,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_column: str = "doc_id", i
             data = decoded_array(map(text, batch.column(1).to_pylist()), as_bytes)
             yield pa.RecordBatch.from_arrays([batch.column(0), data], ["key", out.split()[0]])
 
-    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, {out}").withColumnRenamed("key", id_column)
+    return narrow.mapInArrow(lean(run), f"key {narrow.schema['key'].dataType.simpleString()}, {out}").withColumnRenamed("key", id_column)
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -331,7 +368,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, data], ["key", "ids", "data"])
 
     schema = f"key {narrow.schema['key'].dataType.simpleString()}, ids binary, data binary"
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", id_column)
+    return narrow.mapInArrow(lean(run), schema).withColumnRenamed("key", id_column)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

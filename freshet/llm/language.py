@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .shared import documents, only
+from .shared import documents, lean, only, sliced
 
 DIMENSIONS = 4096
 
@@ -143,13 +143,13 @@ def train(docs: DataFrame, per_language: int = 300, id_column: str = "doc_id", t
     sample = sample.groupBy("key").agg(F.min(F.struct("lang", "text", "drawn")).alias("row")).select("row.*")  # a key counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, langs, drawn = (batch.column(c).to_pylist() for c in ("text", "lang", "drawn"))
             own = [(lang, d, v.astype("<u4").tobytes()) for t, lang, d in zip(texts, langs, drawn) if (v := counts(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "drawn", "counts"])
 
     # the bound: twice per_language of each language on average, of which per_language are taken
-    got = sample.select("text", "lang", "drawn").mapInArrow(run, "lang string, drawn long, counts binary").collect()
+    got = sample.select("text", "lang", "drawn").mapInArrow(lean(run), "lang string, drawn long, counts binary").collect()
     used: dict[str, list[np.ndarray]] = {}
     for r in sorted(got):
         if len(used.setdefault(r["lang"], [])) < per_language:
@@ -163,12 +163,12 @@ def identify(docs: DataFrame, model: Centroids, text_column: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: a few centroids for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lang, score, rejected = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc", "lang_pred", "score", "rejected"])
 
     schema = StructType([wrapped.schema["doc"], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())))])
-    return wrapped.mapInArrow(run, schema)
+    return wrapped.mapInArrow(lean(run), schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

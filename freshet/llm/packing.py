@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, groups_by_size, only, staged
+from .shared import documents, groups_by_size, lean, only, sliced, staged
 from .tokenise import encoder_of
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -49,7 +49,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches):
             at = 0
             for part in groups_by_size([t or "" for t in batch.column(1).to_pylist()]):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -71,7 +71,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most
                     columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lean(run), schema)
 
 
 class Packing:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, only, staged
+from .shared import documents, lean, only, sliced, staged
 
 SEGMENTS, BITS, RADIUS = 4, 4, 1
 SEED = 42
@@ -63,11 +63,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     narrow = only(docs, key=id_column, text=text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["key", "fp"])
 
-    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, fp long")
+    return narrow.mapInArrow(lean(run), f"key {narrow.schema['key'].dataType.simpleString()}, fp long")
 
 
 class VantageTree:
@@ -175,7 +175,7 @@ def routed(distinct: DataFrame, widths: tuple[int, ...], depth: int) -> DataFram
                         ["segment", "leaf", "fp", "home"],
                     )
 
-    return distinct.select("fp").mapInArrow(run, "segment long, leaf long, fp long, home boolean")
+    return distinct.select("fp").mapInArrow(lean(run), "segment long, leaf long, fp long, home boolean")
 
 
 class Forest:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_folder, only, pages, publish, staged
+from .shared import filesystem, lean, new_folder, only, pages, publish, staged
 
 _BLANK = re.compile(r"[\x00-\x20\x7f]+")
 
@@ -203,7 +203,7 @@ def write_archives(df: DataFrame, folder: str, id_column: str = "page_id", url_c
         store.delete_file(inner)
         yield pa.RecordBatch.from_pydict({"path": [target], "records": [n]})
 
-    return rows.mapInArrow(run, "path string, records long")
+    return rows.mapInArrow(lean(run), "path string, records long")
 
 
 def read_archives(spark: SparkSession, paths: list[str], id_column: str = "page_id", rows_at_once: int = 256) -> DataFrame:
@@ -252,7 +252,7 @@ def read_archives(spark: SparkSession, paths: list[str], id_column: str = "page_
                 if rows:
                     yield batch_of(rows)
 
-    return listed.mapInArrow(run, schema).withColumnRenamed("key", id_column)
+    return listed.mapInArrow(lean(run), schema).withColumnRenamed("key", id_column)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

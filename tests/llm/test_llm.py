@@ -83,6 +83,24 @@ def test_utf8_stream_holds_unfinished_characters():
     assert bpe_transducer.Utf8Stream().feed(b"\xff") == "�"
 
 
+def test_utf8_machine_accepts_what_the_codec_does():
+    rng = random.Random(6)
+    steps = bpe_transducer.utf8_machine()
+    for _ in range(20_000):
+        data = bytes(rng.choice((0x41, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC2, 0xDF, 0xE0, 0xED, 0xEF, 0xF0, 0xF4, 0xF5, 0xFF)) for _ in range(rng.randint(0, 5)))
+        state = 0
+        for byte in data:
+            state = steps[state][byte] if state >= 0 else -1
+        try:
+            data.decode()
+            valid = True
+        except UnicodeDecodeError:
+            valid = False
+        assert (state == 0) == valid
+        stream, cut = bpe_transducer.Utf8Stream("surrogateescape"), rng.randint(0, len(data))
+        assert stream.feed(data[:cut]) + stream.feed(data[cut:]) + stream.close() == data.decode("utf-8", "surrogateescape")
+
+
 def test_topk_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8)).round(1)
@@ -280,6 +298,12 @@ def test_token_files(spark, odd):
         at += len(r.ids) // 4
     one = bitpacked.BitFile(files[-1][0])
     assert one.document(one.n_docs - 1).tolist() == ids(rows[-1].ids)
+    hot = spark.createDataFrame([(7, "the same")] * 900 + [(7, f"text {i}") for i in range(300)] + [(3, "first"), (9, None)], "doc_id long, text string").repartition(5)
+    files = bitpacked.write_token_files(hot, new_folder(spark, "tokens"), path, 1, 49408)
+    assert len(files) > 1 and max(f[1] for f in files) < 700  # a hot key is split
+    back = sorted(bitpacked.read_token_files(spark, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == [3] + [7] * 1200 + [9] and ids(back[-1].ids) == [1]
+    assert sum(ids(r.ids) == ids(bitpacked.BitFile(files[0][0]).document(1)) for r in back) >= 1
     empty = bitpacked.write_token_files(none(spark), new_folder(spark, "tokens"), path, 1, 49408)
     assert empty == [] and bitpacked.read_token_files(spark, empty).count() == 0
 
