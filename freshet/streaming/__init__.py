@@ -1 +1 @@
-
+"""Structured streams."""
