@@ -25,12 +25,12 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -192,61 +192,88 @@ def shapes(root: Node) -> dict[int, tuple[int, int]]:
     return found
 
 
-def in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of equal labels, each node with the first that is left; for lists too long to weigh all pairs."""
-    places: dict[str, list[int]] = {}
-    for i, x in enumerate(xs):
-        places.setdefault(x.label, []).append(i)
-    at, out = 0, []
-    for y in ys:
-        own = places.get(y.label, [])
-        k = bisect_left(own, at)
-        if k < len(own):
-            out.append((xs[own[k]], y))
-            at = own[k] + 1
-    return out
-
-
-def heaviest(xs: list[Node], ys: list[Node], weight: dict[tuple[int, int], int]) -> tuple[int, list[tuple[Node, Node]]]:
-    """The order-keeping pairs of the greatest weight."""
-    n, m = len(xs), len(ys)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i, x in enumerate(xs):
-        above, row = best[i], best[i + 1]
-        for j, y in enumerate(ys):
-            row[j + 1] = max(above[j + 1], row[j], above[j] + weight.get((id(x), id(y)), 0))
-    chosen, i, j = [], n, m
-    while i and j:
-        w = weight.get((id(xs[i - 1]), id(ys[j - 1])), 0)
-        if w and best[i][j] == best[i - 1][j - 1] + w:
-            chosen.append((xs[i - 1], ys[j - 1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[n][m], chosen
+def heaviest(xs: list[tuple[str, int]], ys: list[tuple[str, int]], weight: dict[tuple[int, int], int], most_steps: int) -> list[tuple[int, int]]:
+    """The order-keeping pairs of places of the greatest weight; nodes are given as (label, hash of the tree).
+
+    All pairs are weighed, row by row.  Of a table above ``most_steps`` entries a few rows are kept, from which
+    the strips between them are made again on the way back, so memory grows with the length of a row.
+    """
+    places: dict[str, dict[int, list[int]]] = {}
+    for j, (label, shape) in enumerate(ys):
+        places.setdefault(label, {}).setdefault(shape, []).append(j)
+    gains: dict[int, np.ndarray | None] = {}
+
+    def below(above: np.ndarray, i: int) -> np.ndarray:
+        label, shape = xs[i]
+        if label not in places:
+            return above
+        if shape not in gains:
+            if len(gains) * len(ys) > MOST_STEPS:
+                gains.clear()
+            gains[shape] = np.zeros(len(ys), dtype=np.int64)
+            for other, at in places[label].items():
+                gains[shape][at] = weight[shape, other]
+        row = np.zeros(len(above), dtype=np.int64)
+        np.maximum.accumulate(np.maximum(above[:-1] + gains[shape][: len(above) - 1], above[1:]), out=row[1:])
+        return row
+
+    chosen = []
+
+    def back(top: np.ndarray, low: int, high: int, j: int) -> int:
+        """From row ``high`` and column ``j`` back to row ``low``, whose entries are ``top``; the column there."""
+        if not j:
+            return 0
+        rows = [top[: j + 1]]
+        if high - low > max(1, most_steps // (j + 1)):
+            strip = -(-(high - low) // 16)
+            cuts = list(range(low, high, strip))
+            kept = rows[:]
+            for i in range(low, cuts[-1]):
+                rows[0] = below(rows[0], i)
+                if (i + 1 - low) % strip == 0:
+                    kept.append(rows[0])
+            for start, row in zip(reversed(cuts), reversed(kept)):
+                j = back(row, start, min(start + strip, high), j)
+            return j
+        for i in range(low, high):
+            rows.append(below(rows[-1], i))
+        i = high - low
+        while i and j:
+            w = weight.get((xs[low + i - 1][1], ys[j - 1][1]), 0)
+            if w and rows[i][j] == rows[i - 1][j - 1] + w:
+                chosen.append((low + i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return j
+
+    back(np.zeros(len(ys) + 1, dtype=np.int64), 0, len(xs), len(ys))
+    return chosen
 
 
 def aligned(wrapper: Node, tree: Node, most_steps: int = MOST_STEPS) -> dict[int, Node]:
     """Simple tree matching, the greatest top-down matching that keeps order: id of a tree's node -> wrapper's node.
 
     Equal trees at either end of two lists of children are paired outright, which
-    loses nothing.  After ``most_steps`` pairs of children, further lists are
-    paired by ``in_order``.
+    loses nothing, and pairs of the same two shapes are weighed once.  All other pairs of children are weighed,
+    however long their lists; ``most_steps`` bounds the entries held at a time and has no say in the result.
     """
     if wrapper.label != tree.label:
         return {}
     of_a, of_b = shapes(wrapper), shapes(tree)
     weight: dict[tuple[int, int], int] = {}
-    found: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
+    found: dict[tuple[int, int], tuple[int, int, list[tuple[int, int]]]] = {}
     waiting = []
-    todo, steps = [(wrapper, tree)], 0
+    todo = [(wrapper, tree)]
     while todo:
         x, y = todo.pop()
-        pair = id(x), id(y)
-        if of_a[pair[0]] == of_b[pair[1]]:
-            weight[pair] = of_b[pair[1]][1]
+        (shape, _), (other, size) = of_a[id(x)], of_b[id(y)]
+        if (shape, other) in weight:
+            continue
+        weight[shape, other] = size
+        if shape == other:
             continue
         xs, ys, first = x.kids, y.kids, 0
         while first < min(len(xs), len(ys)) and of_a[id(xs[first])] == of_b[id(ys[first])]:
@@ -254,28 +281,33 @@ def aligned(wrapper: Node, tree: Node, most_steps: int = MOST_STEPS) -> dict[int
         last = 0
         while last < min(len(xs), len(ys)) - first and of_a[id(xs[-1 - last])] == of_b[id(ys[-1 - last])]:
             last += 1
-        ends = [*zip(xs[:first], ys[:first]), *zip(xs[len(xs) - last :], ys[len(ys) - last :])]
-        xs, ys = xs[first : len(xs) - last], ys[first : len(ys) - last]
-        steps += len(xs) * len(ys)
-        if steps > most_steps:
-            pairs = in_order(xs, ys)
-        else:
-            pairs = [(u, v) for u in xs for v in ys if u.label == v.label]
-        waiting.append((x, y, xs, ys, ends, pairs if steps > most_steps else None))
-        todo += pairs
-    for x, y, xs, ys, ends, fixed in reversed(waiting):
-        if fixed is None:
-            own, chosen = heaviest(xs, ys, weight)
-        else:
-            own, chosen = sum(weight[id(u), id(v)] for u, v in fixed), fixed
-        weight[id(x), id(y)] = 1 + own + sum(of_b[id(v)][1] for _, v in ends)
-        found[id(x), id(y)] = ends + chosen
+        waiting.append((size, shape, other, x, y, first, last))
+        kinds: dict[str, dict[int, Node]] = {}
+        for v in ys[first : len(ys) - last]:
+            kinds.setdefault(v.label, {})[of_b[id(v)][0]] = v
+        for u in {of_a[id(u)][0]: u for u in xs[first : len(xs) - last]}.values():
+            todo += [(u, v) for v in kinds.get(u.label, {}).values()]
+    waiting.sort(key=lambda row: row[0])  # children before what holds them
+    for _, shape, other, x, y, first, last in waiting:
+        xs = [(u.label, of_a[id(u)][0]) for u in x.kids[first : len(x.kids) - last]]
+        ys = [(v.label, of_b[id(v)][0]) for v in y.kids[first : len(y.kids) - last]]
+        chosen = heaviest(xs, ys, weight, most_steps) if xs and ys else []
+        ends = [*y.kids[:first], *y.kids[len(y.kids) - last :]]
+        weight[shape, other] = 1 + sum(of_b[id(v)][1] for v in ends) + sum(weight[xs[i][1], ys[j][1]] for i, j in chosen)
+        found[shape, other] = first, last, chosen
     where: dict[int, Node] = {}
     pairs = [(wrapper, tree)]
     while pairs:
         x, y = pairs.pop()
         where[id(y)] = x
-        pairs += found.get((id(x), id(y))) or (zip(x.kids, y.kids) if of_a[id(x)] == of_b[id(y)] else ())
+        shape, other = of_a[id(x)][0], of_b[id(y)][0]
+        if shape == other:
+            pairs += zip(x.kids, y.kids)
+            continue
+        first, last, chosen = found[shape, other]
+        pairs += zip(x.kids[:first], y.kids[:first])
+        pairs += zip(x.kids[len(x.kids) - last :], y.kids[len(y.kids) - last :])
+        pairs += [(x.kids[first + i], y.kids[first + j]) for i, j in chosen]
     return where
 
 

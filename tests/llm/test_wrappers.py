@@ -99,3 +99,41 @@ def test_matching_by_brute_force():
         assert len(merged) == after and len(list(a.walk())) == before + after - len(where)
         again = wrappers.Node.unpacked(a.packed())
         assert again == a
+
+
+def plain_lcs(xs, ys):
+    """Length of the longest common subsequence, by the bits of whole numbers."""
+    at = {}
+    for i, x in enumerate(xs):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << len(xs)) - 1
+    row = every
+    for y in ys:
+        met = row & at.get(y, 0)
+        row = (row + met | row - met) & every
+    return len(xs) - row.bit_count()
+
+
+def test_long_lists_of_children_are_matched_whole():
+    import random
+
+    rng = random.Random(8)
+    xs, ys = (rng.choices("abcde", k=n) for n in (2300, 2600))  # six million pairs
+    a, b = (wrappers.Node("#", [wrappers.Node(x) for x in kids]) for kids in (xs, ys))
+    assert len(wrappers.aligned(a, b)) == 1 + plain_lcs(xs, ys)
+
+
+def test_matching_is_the_same_at_any_number_of_steps():
+    import random
+
+    rng = random.Random(9)
+
+    def tree(depth):
+        return wrappers.Node(rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randint(0, 9) if depth else 0)])
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        b.label = a.label
+        want = {k: id(n) for k, n in wrappers.aligned(a, b).items()}
+        for steps in (0, 7, 40):
+            assert {k: id(n) for k, n in wrappers.aligned(a, b, most_steps=steps).items()} == want
