@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from freshet.llm import shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,3 +66,54 @@ def test_rows_without_an_id_of_their_own_are_kept(spark):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
     assert got == sorted([(7, a), (None, b), (7, c), (8, d)], key=str)
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def near_copies(rng):
+    texts = []
+    for n in (12, 40, 200):
+        for _ in range(8):
+            base = words(rng, n)
+            texts += [" ".join("x%d" % rng.randrange(10**6) if rng.random() < changes else w for w in base) for changes in (0, 0, 0.01, 0.02, 0.03, 0.1)]
+    return texts
+
+
+def test_pairs_meet_by_fingerprints_in_the_leaves_of_trees(spark):
+    texts = near_copies(random.Random(5))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    segments, width, depth = shingles.layout(len(texts), 8)
+    assert depth > 2 and segments > 10
+    marked = shingles.shingle_sets(df, "doc_id", "text", 5, max(4, -(-segments * width // 64))).cache()
+    fp = {r.key: r.fp for r in marked.collect()}
+    distinct = marked.groupBy("fp").agg({"sig": "first"}).toDF("fp", "sig")
+    buckets = {}
+    for leaf_rows in (8192, 5):  # also by blocks of leaves
+        for r in shingles.near_sets(distinct, segments, width, depth, leaf_rows).collect():
+            buckets.setdefault(r.fp, set()).add((leaf_rows, r.band))
+            assert r.least <= r.fp
+        alike = [(fp[i], fp[j]) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+        assert alike and all(u == v or any(n == leaf_rows for n, _ in buckets[u] & buckets[v]) for u, v in alike)
+    kept = sorted(r.doc_id for r in shingles.one_of_each(df, leaf_rows=5, aim=8).collect())
+    assert kept == sorted(set(brute(texts)))
+
+
+def test_fingerprints_are_majorities_and_near_ones_are_joined():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 300, 1001):
+        hashes = np.unique(rng.integers(0, 2**64, size=n, dtype=np.uint64))
+        mixed = [shingles.signature(h[None], 4).tolist() for h in hashes]
+        mixed += [mixed[0]] * (1 - n % 2)
+        want = [sum((2 * sum(m[w] >> b & 1 for m in mixed) > len(mixed)) << b for b in range(64)) for w in range(4)]
+        assert shingles.signature(hashes, 4).tolist() == want
+    base = rng.integers(0, 2**64, size=(12, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((120, 256)) < rng.choice([0.02, 0.15, 0.3], size=(120, 1)), axis=1).view("<u8")
+    rows = base[rng.integers(0, 12, size=120)] ^ flips
+    first, other = np.arange(0, 70), np.arange(40, 120)
+    root = list(range(120))
+    for i in first.tolist():
+        for j in other.tolist():
+            bits = [int(x).bit_count() for x in rows[i] ^ rows[j]]
+            if sum(bits[:2]) <= shingles.FIRST_BITS and sum(bits) <= shingles.BITS and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    for step in (1, 1 << 20):
+        assert shingles.joined_near(rows, first, other, step).tolist() == root
