@@ -101,7 +101,6 @@ def test_fingerprints_are_majorities_and_near_ones_are_joined():
     for n in (1, 2, 5, 300, 1001):
         hashes = np.unique(rng.integers(0, 2**64, size=n, dtype=np.uint64))
         mixed = [shingles.signature(h[None], 4).tolist() for h in hashes]
-        mixed += [mixed[0]] * (1 - n % 2)
         want = [sum((2 * sum(m[w] >> b & 1 for m in mixed) > len(mixed)) << b for b in range(64)) for w in range(4)]
         assert shingles.signature(hashes, 4).tolist() == want
     base = rng.integers(0, 2**64, size=(12, 4), dtype=np.uint64)
@@ -117,3 +116,19 @@ def test_fingerprints_are_majorities_and_near_ones_are_joined():
                 root = [low if r == high else r for r in root]
     for step in (1, 1 << 20):
         assert shingles.joined_near(rows, first, other, step).tolist() == root
+
+
+def test_small_sets_at_the_similarity_meet():
+    rng = np.random.default_rng(5)
+    segments, width, _ = shingles.layout(15_000_000, 512)
+    words = -(-segments * width // 64)
+    for _ in range(6000):
+        shared = int(rng.integers(8, 60))
+        own = int(rng.integers(0, shared // 4 + 1))
+        x = rng.integers(0, 2**64, size=shared + shared // 4, dtype=np.uint64)
+        x[shared:] >>= np.uint64(12)  # the least hashes are not the shared ones
+        a, b = np.unique(x[: shared + own]), np.unique(np.r_[x[:shared], x[shared + own :]])
+        assert shingles.alike(a, b)
+        apart = shingles.signature(a, words) ^ shingles.signature(b, words)
+        bits = np.unpackbits(apart.view(np.uint8), count=segments * width, bitorder="little").reshape(segments, width).sum(axis=1)
+        assert bits.min() <= 1 and np.bitwise_count(apart[:2]).sum() <= shingles.FIRST_BITS and np.bitwise_count(apart[:4]).sum() <= shingles.BITS
