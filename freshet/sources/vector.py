@@ -220,17 +220,19 @@ def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for label, cells, shape in zip(batch["label"], batch["cells"], batch["rings"]):
-                own = [np.array([(x0 + dx * p["c"], y0 + dy * p["r"]) for p in ring], "<f8") for ring in shape]
-                points = np.vstack(own)
+            for label, cells, lengths, r, c in zip(batch["label"], batch["cells"], batch["lengths"], batch["r"], batch["c"]):
+                points = np.column_stack([x0 + dx * c, y0 + dy * r]).astype("<f8")
                 box = [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()]
-                starts = np.cumsum([0, *map(len, own[:-1])]).astype("<i4")
-                data = struct.pack("<i4d2i", POLYGONS[0], *box, len(own), len(points)) + starts.tobytes() + points.tobytes()
+                starts = np.cumsum([0, *lengths[:-1]]).astype("<i4")
+                data = struct.pack("<i4d2i", POLYGONS[0], *box, len(lengths), len(points)) + starts.tobytes() + points.tobytes()
                 row = b" " + b"".join(table_cell(cells[f"f{i}"], kind) for i, kind in enumerate(kinds))
                 out.append((label, len(data), data, row, *box))
             yield pd.DataFrame(out, columns=["label", "size", "data", "row", "x_min", "y_min", "x_max", "y_max"])
 
-    asked = rings.select("label", F.struct(*[F.col(c).cast(kind).alias(f"f{i}") for i, ((c, _), kind) in enumerate(zip(fields, kinds))]).alias("cells"), "rings")
+    # plain lists: rings of unequal lengths make no array of arrays
+    corners = F.flatten("rings")
+    flat = F.transform("rings", lambda x: F.size(x)).alias("lengths"), corners["r"].alias("r"), corners["c"].alias("c")
+    asked = rings.select("label", F.struct(*[F.col(c).cast(kind).alias(f"f{i}") for i, ((c, _), kind) in enumerate(zip(fields, kinds))]).alias("cells"), *flat)
     records = written(asked.mapInPandas(run, "label long, size long, data binary, row binary, x_min double, y_min double, x_max double, y_max double"), "polygons")
     n, total, *box = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), *[F.coalesce(f(c), F.lit(0.0)) for f, c in ((F.min, "x_min"), (F.min, "y_min"), (F.max, "x_max"), (F.max, "y_max"))]).first()
     if 100 + 8 * n + total >= 2**31:

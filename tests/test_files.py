@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
+from freshet.operators import outlines
 from freshet.plans.pipeline import run
 from freshet.sources import projection, raster, tables, vector
 from freshet.sources.config import Config
@@ -208,3 +210,15 @@ def test_unreadable_optional_rasters(spark, tmp_path):
     (tmp_path / "topo.tif").unlink()
     made = run(spark, Config(set_depth=1.0, topwidthplausiblelimit=60.0, **(paths | {"bathy_out_file": str(tmp_path / "missing.tif")})))
     assert "topobathy" not in made and not (tmp_path / "topo.tif").exists() and (tmp_path / "flood.tif").exists()
+
+
+def test_polygons_with_holes_of_other_lengths(spark, tmp_path):
+    """Rings of 9, 5 and 7 corners in one record enclose the area's cells."""
+    picture = ["1111100", "1011111", "1111111", "1011111", "1001111", "1111110"]
+    cells = [(i, j, 1, 0) for i, row in enumerate(picture) for j, x in enumerate(row) if x == "1"]
+    rings = outlines.outlines(spark.createDataFrame(cells, "r int, c int, value int, label long"))
+    assert sorted(len(x) for x in rings.first().rings) == [5, 7, 9]
+    vector.write_polygons(rings.withColumn("stream_id", F.lit(4)), str(tmp_path / "flood"), PLACE)
+    pieces = vector.read_segments(spark, str(tmp_path / "flood.shp")).collect()
+    assert -sum((s.x0 * s.y1 - s.x1 * s.y0) / 2 for s in pieces) == 100 * len(cells)
+    assert {s.stream_id for s in pieces} == {0} and max(s.x1 for s in pieces) == 1070.0 and min(s.y1 for s in pieces) == 4940.0
