@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.tiles import TILE
-from freshet.staging import written
+from freshet.staging import shuffled, written
 
 
 def label_tile(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
@@ -51,10 +51,10 @@ def areas(cells: DataFrame, tile: int = TILE) -> DataFrame:
     edge = local.where(f"r % {tile} = 0 OR c % {tile} = 0").select("r", "c", "value", "label")
     other = local.where(f"r % {tile} = {tile - 1} OR c % {tile} = {tile - 1}").select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("value").alias("v2"), F.col("label").alias("l2"))
     up = edge.select(F.explode(F.array(F.struct((F.col("r") - 1).alias("r2"), F.col("c").alias("c2")), F.struct(F.col("r").alias("r2"), (F.col("c") - 1).alias("c2")))).alias("n"), "value", "label")
-    touching = up.select("n.r2", "n.c2", "value", "label").join(other, ["r2", "c2"]).where("value = v2 AND label <> l2")
+    touching = up.select("n.r2", "n.c2", "value", "label").join(shuffled(other), ["r2", "c2"]).where("value = v2 AND label <> l2")
     pairs = written(touching.select(F.greatest("label", "l2").alias("u"), F.least("label", "l2").alias("v")).distinct(), "borders")
     roots = min_components(pairs)
-    out = local.join(roots, local["label"] == roots["node"], "left")
+    out = local.join(shuffled(roots), local["label"] == roots["node"], "left")
     return out.select("r", "c", "value", F.coalesce("root", "label").alias("label"))
 
 
@@ -96,4 +96,4 @@ def crossed_cells(segment: DataFrame) -> DataFrame:
 
 def areas_on_streams(labelled: DataFrame, segment: DataFrame) -> DataFrame:
     """``(label, value, stream_id)``: one row for each pair that meets."""
-    return labelled.join(crossed_cells(segment), ["r", "c"]).select("label", "value", "stream_id").distinct()
+    return labelled.join(shuffled(crossed_cells(segment)), ["r", "c"]).select("label", "value", "stream_id").distinct()

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from freshet.functions.kernel import cells_of_width, stamp_of
 from freshet.operators.hydraulics import width_cap
 from freshet.operators.tiles import TILE, on_tiles
+from freshet.staging import shuffled
 
 
 def seeds(stream: DataFrame, dem: DataFrame, cell_hyd: DataFrame, reach_hyd: DataFrame, limit: float, dx: float, dy: float) -> DataFrame:
     """``(event, r, c, wse, tw, k)`` of the stream cells that flood around themselves."""
     cap = width_cap(reach_hyd, limit)
-    at = stream.join(dem, ["r", "c"]).join(reach_hyd.withColumnRenamed("tw", "reach_tw"), "comid")
-    at = at.join(cell_hyd.select("event", "r", "c", F.col("tw").alias("cell_tw"), F.col("wse").alias("cell_wse")), ["event", "r", "c"], "left")
+    at = stream.join(shuffled(dem), ["r", "c"]).join(reach_hyd.withColumnRenamed("tw", "reach_tw"), "comid")
+    at = at.join(shuffled(cell_hyd.select("event", "r", "c", F.col("tw").alias("cell_tw"), F.col("wse").alias("cell_wse"))), ["event", "r", "c"], "left")
     own = (F.col("cell_wse") >= 0.001) & (F.col("cell_tw") >= 1e-5)
     wse = F.when(own, F.col("cell_wse")).otherwise(F.col("z") + F.col("depth"))
     tw = F.when(own, F.col("cell_tw")).otherwise(F.col("reach_tw"))
@@ -25,7 +26,7 @@ def seeds(stream: DataFrame, dem: DataFrame, cell_hyd: DataFrame, reach_hyd: Dat
 
 def fixed_depth_seeds(stream: DataFrame, dem: DataFrame, depth: float, limit: float, dx: float, dy: float) -> DataFrame:
     """Seeds of the mode with one depth everywhere; a single event."""
-    at = stream.join(dem, ["r", "c"]).select(F.lit(0).alias("event"), "r", "c", (F.col("z") + depth).alias("wse"), F.lit(float(limit)).alias("tw"))
+    at = stream.join(shuffled(dem), ["r", "c"]).select(F.lit(0).alias("event"), "r", "c", (F.col("z") + depth).alias("wse"), F.lit(float(limit)).alias("tw"))
     return at.where("wse >= 0.001 AND tw >= 0.00001").withColumn("k", cells_of_width(F.least("tw", F.lit(float(limit))), dx, dy))
 
 
@@ -40,9 +41,9 @@ def relocated(seed: DataFrame, dem: DataFrame, radius: int) -> DataFrame:
         return seed.select("*", F.col("r").alias("to_r"), F.col("c").alias("to_c"))
     ground = dem.where("z > 0.1").select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("z").alias("nz"))
     offsets = seed.select("*", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("dr")).select("*", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("dc"))
-    near = offsets.select("*", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc")).join(ground, ["nr", "nc"])
+    near = offsets.select("*", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc")).join(shuffled(ground), ["nr", "nc"])
     best = near.groupBy("event", "r", "c").agg(F.min(F.struct("nz", "nr", "nc")).alias("b"))
-    return seed.join(best, ["event", "r", "c"], "left").select(seed["*"], F.coalesce("b.nr", seed["r"]).alias("to_r"), F.coalesce("b.nc", seed["c"]).alias("to_c"))
+    return seed.join(shuffled(best), ["event", "r", "c"], "left").select(seed["*"], F.coalesce("b.nr", seed["r"]).alias("to_r"), F.coalesce("b.nc", seed["c"]).alias("to_c"))
 
 
 def offsets_of(seed: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def stamped(seed: DataFrame, dem: DataFrame, dx: float, dy: float, tile: int = T
         return pd.DataFrame({"event": event, "r": i + r0, "c": j + c0, "swz": swz[i, j], "sw": sw[i, j]})
 
     sums = on_tiles(seed.select(*columns), F.col("k"), tile).groupBy("event", "tr", "tc").applyInPandas(run, schema)
-    return sums.join(dem.select("r", "c", "z"), ["r", "c"]).select("event", "r", "c", "z", "swz", "sw")
+    return sums.join(shuffled(dem.select("r", "c", "z")), ["r", "c"]).select("event", "r", "c", "z", "swz", "sw")
 
 
 def flooded(sums: DataFrame, stream: DataFrame, events: int) -> DataFrame:

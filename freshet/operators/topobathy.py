@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.kernel import inverse_square_of, stamp_of
 from freshet.operators.tiles import TILE, array_of, on_tiles, tile_at
+from freshet.staging import shuffled
 
 RADIUS = 19
 OUTSIDE = -99.0
@@ -16,7 +17,7 @@ OUTSIDE = -99.0
 
 def masked(bathy: DataFrame, watermask: DataFrame) -> DataFrame:
     """``(r, c, v)``: bed values within the mask, -99 outside."""
-    return bathy.join(watermask, ["r", "c"]).select("r", "c", F.when(F.col("m") > 0, F.col("v")).otherwise(F.lit(OUTSIDE)).alias("v"))
+    return bathy.join(shuffled(watermask), ["r", "c"]).select("r", "c", F.when(F.col("m") > 0, F.col("v")).otherwise(F.lit(OUTSIDE)).alias("v"))
 
 
 def targets(bed: DataFrame) -> DataFrame:
@@ -74,6 +75,6 @@ def neighbour_mean(bed: DataFrame, dx: float, dy: float, radius: int = RADIUS, w
 
 def topobathy(dem: DataFrame, bed: DataFrame, filled: DataFrame) -> DataFrame:
     """``(r, c, z)``: bed where it is above zero, filled targets, else ground."""
-    joined = dem.join(bed, ["r", "c"], "left").join(filled.withColumnRenamed("v", "f"), ["r", "c"], "left")
+    joined = dem.join(shuffled(bed), ["r", "c"], "left").join(shuffled(filled.withColumnRenamed("v", "f")), ["r", "c"], "left")
     z = F.when(F.col("v") > 0, F.col("v")).when((F.col("v") == 0) & (F.col("f") > 0), F.col("f")).otherwise(F.col("z"))
     return joined.select("r", "c", z.alias("z"))

@@ -9,7 +9,7 @@ from freshet.operators import components, outlines
 from freshet.plans import pipeline
 from freshet.sources import raster, tables, vector
 from freshet.sources.config import Config
-from freshet.staging import new_folder, written
+from freshet.staging import new_folder, shuffled, written
 
 #: Ten-metre cells whose top left corner is (1000, 5000), and the mark of an empty cell.
 PLACE = (1000.0, 10.0, 0.0, 5000.0, 0.0, -10.0)
@@ -118,7 +118,7 @@ def topobathy_file(p) -> DataFrame:
     mask = p.d.watermask.select("r", "c", F.col("m").alias("v"))
     cfg = Config(dem_file=grid_file(dem), nodata=True, stream_file=cells_file(p.stream.select("r", "c", F.col("comid").alias("v")), dem, "i4"), set_depth=0.1, topwidthplausiblelimit=20.0, bathy_out_file=cells_file(p.d.bathy, dem), bathywatermask=cells_file(mask, dem, "u1"), fsoutbathy=out)
     pipeline.run(spark, cfg)
-    return raster.read_cells(spark, out).select("r", "c", F.col("v").alias("z")).join(dem.select("r", "c"), ["r", "c"], "left_semi")
+    return raster.read_cells(spark, out).select("r", "c", F.col("v").alias("z")).join(shuffled(dem.select("r", "c")), ["r", "c"], "left_semi")
 
 
 def fixed_depth_run(p) -> DataFrame:

@@ -14,7 +14,7 @@ from freshet.operators import components, flood, hydraulics, localfill, outlines
 from freshet.sources import raster, tables, vector
 from freshet.sources.config import Config
 from freshet.sources.projection import code_of_raster, code_of_text, text_of
-from freshet.staging import written
+from freshet.staging import shuffled, written
 
 log = logging.getLogger("freshet")
 
@@ -106,7 +106,7 @@ def flood_polygons(spark: SparkSession, ensemble: DataFrame, streams: str, trans
     labelled = written(components.areas(ensemble.where("pct > 0").select("r", "c", F.col("pct").alias("value"))), "areas")
     pairs = components.areas_on_streams(labelled, vector.in_cells(vector.read_segments(spark, streams), transform))
     pairs = written(pairs.select("label", "stream_id"), "pairs")
-    kept = labelled.join(pairs.select("label").distinct(), "label", "left_semi")
+    kept = labelled.join(shuffled(pairs.select("label").distinct()), "label", "left_semi")
     attributes, names = vector.read_attributes(spark, streams)
     told = pairs.join(attributes, "stream_id", "left")
     rows = outlines.outlines(kept).join(told, "label").select("label", "value", "stream_id", *[c for c, _ in names], "rings")
@@ -131,7 +131,7 @@ def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
         if cfg.outfld:
             vector.write_polygons(made["polygons"], cfg.outfld[:-4], transform, [("value", "Value"), ("stream_id", "index_right"), *names], text)
         if cfg.filter_raster:
-            shown = ensemble.join(kept, ["r", "c"], "left_semi")
+            shown = ensemble.join(shuffled(kept), ["r", "c"], "left_semi")
     if cfg.outfld:
         raster.write_raster(shown.select("r", "c", F.col("pct").alias("v")), cfg.outfld, shape, "i4", transform, projection)
     if cfg.bathy_out_file and cfg.fsoutbathy:
@@ -139,7 +139,7 @@ def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
         if water is not None:
             water = water.select("r", "c", (F.col("v") > 0).cast("int").alias("m"))
         else:  # the flood map stands in for a mask
-            water = dem.join(ensemble, ["r", "c"], "left").select("r", "c", (F.coalesce("pct", F.lit(0)) > 0).cast("int").alias("m"))
+            water = dem.join(shuffled(ensemble), ["r", "c"], "left").select("r", "c", (F.coalesce("pct", F.lit(0)) > 0).cast("int").alias("m"))
         if bathy is not None:
             bed = written(topobathy.masked(bathy, water), "bed")
             made["topobathy"] = written(topobathy.topobathy(dem, bed, topobathy.neighbour_mean(bed, dx, dy)), "topobathy")

@@ -12,7 +12,7 @@ from freshet.functions.kernel import in_ellipse, inverse_square, metric_cell_siz
 from freshet.operators import components, flood, hydraulics, localfill, topobathy
 from freshet.plans import files
 from freshet.plans.fixtures import Domain, domain
-from freshet.staging import written
+from freshet.staging import shuffled, written
 
 DX = DY = 10.0
 FACTOR, LIMIT, EVENTS, DIGITS = 3.0, 200.0, 3, 4
@@ -178,7 +178,7 @@ BUILD: dict[str, Callable[[Plans], DataFrame]] = {
     "q29_topobathy_corner_weight": lambda p: p.topo(weight_origin="corner"),
     "q30_neighborhood_argmin": lambda p: flood.relocated(p.seeds, p.d.dem, 3).select("event", "r", "c", "to_r", "to_c"),
     "q31_implausible_report": lambda p: hydraulics.implausible(p.reach_hyd, 20.0),
-    "q32_raster_algebra": lambda p: p.d.dem.join(p.d.watermask, ["r", "c"]).join(p.bed, ["r", "c"]).select("r", "c", (F.col("z") - F.col("v") * F.col("m")).alias("d")),
+    "q32_raster_algebra": lambda p: p.d.dem.join(shuffled(p.d.watermask), ["r", "c"]).join(shuffled(p.bed), ["r", "c"]).select("r", "c", (F.col("z") - F.col("v") * F.col("m")).alias("d")),
     "q33_config_first_match": config_rows,
     "q34_raster_extent": extent_rows,
     "q35_vdt_fixed_vs_curve_mode": cap_of_mode,

@@ -49,6 +49,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles, whatever Spark reckons its size to be.
+
+    Spark goes by files, and the cells of a grid may pack a thousandfold: millions of them would be gathered in the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     path = new_folder(df.sparkSession, name)

@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from freshet.functions.kernel import cells_of_width, in_ellipse, inverse_square, metric_cell_size
-from freshet.operators import components, flood, hydraulics, localfill
+from freshet.operators import components, flood, hydraulics, localfill, topobathy
 from freshet.sources.config import Config
+from freshet.staging import written
 
 
 def test_ellipse_and_centre_weight(spark):
@@ -66,3 +67,17 @@ def test_segment_touching_a_corner_counts(spark):
 def test_config_first_value_wins():
     c = Config.parse(["DEM_File a b.tif", "DEM_File c.tif", "Set_Depth 0.5", "LocalFloodOption False", "Q_Fraction"])
     assert c.dem_file == "a b.tif" and c.set_depth == 0.5 and c.localfloodoption is False and c.q_fraction == 1.0
+
+
+def test_cells_are_never_broadcast(spark):
+    """However small their files: a million cells of a mask pack into a few kilobytes."""
+    cells = written(spark.range(1_000_000).selectExpr("CAST(id div 1000 AS INT) AS r", "CAST(id % 1000 AS INT) AS c", "1 AS m"), "mask")
+    ground = cells.selectExpr("r", "c", "CAST(r AS DOUBLE) AS z")
+    bed = topobathy.masked(ground.withColumnRenamed("z", "v"), cells)
+    few = written(spark.createDataFrame([(0, 0, 7)], "r int, c int, comid long"), "few")
+    seed = flood.fixed_depth_seeds(few, ground, 1.0, 50.0, 10.0, 10.0)
+    made = {"bed": bed, "surface": topobathy.topobathy(ground, written(bed, "bed"), ground.withColumnRenamed("z", "v").where("r < 9")), "seeds": seed, "stamps": flood.stamped(written(seed, "seeds"), ground, 10.0, 10.0)}
+    for name, df in made.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+    assert bed.count() == 1_000_000 and bed.where("v = r").count() == 1_000_000
