@@ -84,9 +84,10 @@ def polygon_rows(p) -> DataFrame:
     """Value, stream and cells of each record of the flood's shapefile: the area that its rings enclose."""
     spark = p.d.dem.sparkSession
     labelled = written(p.areas.where("value > 0"), "areas")
-    pairs = components.areas_on_streams(labelled, p.d.segment).select("label", "stream_id")
+    pairs = written(components.areas_on_streams(labelled, p.d.segment), "pairs")
+    kept = labelled.join(shuffled(pairs.select("label").distinct()), "label", "left_semi")
     path = f"{folder(p.d.dem)}/flood"
-    vector.write_polygons(outlines.outlines(labelled).join(pairs, "label").select("label", "value", "stream_id", "rings"), path, PLACE)
+    vector.write_polygons(outlines.outlines(kept), path, PLACE, told=pairs)
     side = vector.read_segments(spark, f"{path}.shp")
     area = side.groupBy("stream_id").agg((F.sum(F.expr("x1 * y0 - x0 * y1")) / 2 / abs(PLACE[1] * PLACE[5])).alias("area"))
     table, names = vector.read_attributes(spark, f"{path}.shp")

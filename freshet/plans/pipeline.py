@@ -98,19 +98,18 @@ def flood_events(spark: SparkSession, cfg: Config, dem: DataFrame, dx: float, dy
     return written(flood.ensemble(wet, events), "ensemble"), events
 
 
-def flood_polygons(spark: SparkSession, ensemble: DataFrame, streams: str, transform: tuple[float, ...]) -> tuple[DataFrame, list[tuple[str, str]], DataFrame]:
-    """``(label, value, stream_id, attributes, rings)``: a row for each pair of a flood area and a stream line that meets it.
+def flood_polygons(spark: SparkSession, ensemble: DataFrame, streams: str, transform: tuple[float, ...]) -> tuple[DataFrame, DataFrame, list[tuple[str, str]], DataFrame]:
+    """``(label, rings)`` of the flood areas that meet a stream line, and ``(label, value, stream_id, attributes)``: a row for each pair.
 
     Also the attributes' columns and names, and the cells ``(r, c, label)`` of those areas.
     """
     labelled = written(components.areas(ensemble.where("pct > 0").select("r", "c", F.col("pct").alias("value"))), "areas")
     pairs = components.areas_on_streams(labelled, vector.in_cells(vector.read_segments(spark, streams), transform))
-    pairs = written(pairs.select("label", "stream_id"), "pairs")
+    pairs = written(pairs, "pairs")
     kept = labelled.join(shuffled(pairs.select("label").distinct()), "label", "left_semi")
     attributes, names = vector.read_attributes(spark, streams)
-    told = pairs.join(attributes, "stream_id", "left")
-    rows = outlines.outlines(kept).join(told, "label").select("label", "value", "stream_id", *[c for c, _ in names], "rings")
-    return rows, names, kept.select("r", "c", "label")
+    told = pairs.join(attributes, "stream_id", "left").select("label", "value", "stream_id", *[c for c, _ in names])
+    return outlines.outlines(kept).select("label", "rings"), told, names, kept.select("r", "c", "label")
 
 
 def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
@@ -126,10 +125,11 @@ def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
     shown = ensemble
     if cfg.strmshp_file:
         text = common_projection(spark, cfg.strmshp_file, projection)
-        rows, names, kept = flood_polygons(spark, ensemble, cfg.strmshp_file, transform)
-        made["polygons"] = written(rows, "outlines")
+        rings, told, names, kept = flood_polygons(spark, ensemble, cfg.strmshp_file, transform)
+        rings, told = written(rings, "outlines"), written(told, "told")
+        made["polygons"] = told.join(shuffled(rings), "label")  # an area's rings once for each of its stream lines, where they are asked for
         if cfg.outfld:
-            vector.write_polygons(made["polygons"], cfg.outfld[:-4], transform, [("value", "Value"), ("stream_id", "index_right"), *names], text)
+            vector.write_polygons(rings, cfg.outfld[:-4], transform, [("value", "Value"), ("stream_id", "index_right"), *names], text, told)
         if cfg.filter_raster:
             shown = ensemble.join(shuffled(kept), ["r", "c"], "left_semi")
     if cfg.outfld:

@@ -1,7 +1,8 @@
 """Vector files: stream lines as segments with their attributes, flood areas as polygons.
 
-Shapefiles (with the table beside them) and GeoJSON are read, through ``binaryFile``, and decoded in the executors.  Polygons
-and their table's rows are encoded in the executors too; the driver strings the records together.
+Shapefiles (with the table beside them) and GeoJSON are read, through ``binaryFile``, and decoded in the executors; large
+shapefiles in spans of whole records.  Polygons, each once, and their table's rows are encoded in the executors too; the driver
+strings the records together.
 """
 
 from __future__ import annotations
@@ -10,26 +11,34 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.sources.raster import open_output
-from freshet.staging import written
+from freshet.staging import shuffled, written
 
 #: Shape types of the format (fixed values); the last two of each kind carry heights and measures.
 LINES, POLYGONS = (3, 13, 23), (5, 15, 25)
 CODE, VERSION = 9994, 1000
+#: Bytes of a span of records, and segments sent on at once.
+SPAN, PIECES = 1 << 23, 1 << 18
 #: Columns of a table by what a relation holds: type, width, decimals (fixed values).
 KINDS = {"bigint": (b"N", 20, 0), "int": (b"N", 20, 0), "double": (b"N", 24, 15), "string": (b"C", 254, 0), "boolean": (b"L", 1, 0), "date": (b"D", 8, 0)}
 
 
 def shapefile_parts(data: bytes) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Number of each record with lines or outlines, and its parts."""
-    at, number, end = 100, 0, min(len(data), 2 * struct.unpack_from(">i", data, 24)[0])
+    yield from record_parts(data, 100, 0, min(len(data), 2 * struct.unpack_from(">i", data, 24)[0]))
+
+
+def record_parts(data: bytes, at: int, number: int, end: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The same of the records from ``at``, the first of which has the number given."""
     while at + 8 <= end:
         size = 2 * struct.unpack_from(">i", data, at + 4)[0]
         kind = struct.unpack_from("<i", data, at + 8)[0] if size >= 4 else 0
@@ -67,19 +76,91 @@ def is_geojson(name: str) -> bool:
     return name.lower().endswith((".geojson", ".json"))
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, stream_id, x0, y0, x1, y1)``: pieces of the lines or outlines; ids count a file's records from 0."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def open_input(name: str):
+    """A stream that seeks, of a path as Spark's readers name it."""
+    from pyarrow import fs
+
+    store, inner = (fs.LocalFileSystem(), "/" + name[5:].lstrip("/")) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+    return store.open_input_file(inner)
+
+
+def can_open(name: str) -> bool:
+    try:
+        open_input(name).close()
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+def record_spans(name: str, span: int) -> Iterator[tuple[int, int, int]]:
+    """Place, size and first record's number of the spans of a shapefile; none is cut within a record."""
+    with open_input(name) as file:
+        end = min(file.size(), 2 * struct.unpack(">i", file.read(28)[24:])[0])
+        start = at = 100
+        first = number = 0
+        while at + 8 <= end:
+            file.seek(at + 4)
+            at, number = at + 8 + 2 * struct.unpack(">i", file.read(4))[0], number + 1
+            if at - start >= span or at + 8 > end:
+                yield start, min(at, end) - start, first
+                start, first = at, number
+
+
+def pieces_of(name: str, records: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        numbers = np.repeat([number for number, _ in held], [len(xy) - 1 for _, xy in held]).astype("int64")
+        ends = [np.concatenate([xy[part, i] for _, xy in held]) for part in (slice(None, -1), slice(1, None)) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.repeat(name, len(numbers)), *map(pa.array, (numbers, *ends))], ["path", "stream_id", "x0", "y0", "x1", "y1"])
+
+    for number, parts in records:
+        for whole in parts:
+            for at in range(0, len(whole) - 1, PIECES):
+                xy = whole[at : at + PIECES + 1]
+                held.append((number, xy))
+                n += len(xy) - 1
+                if n >= PIECES:
+                    yield out()
+                    held, n = [], 0
+    if held:
+        yield out()
+
+
+def read_segments(spark: SparkSession, path: str, large: int = 1 << 26) -> DataFrame:
+    """``(path, stream_id, x0, y0, x1, y1)``: pieces of the lines or outlines; ids count a file's records from 0.
+
+    Shapefiles of ``large`` bytes or more are read in spans, if they can be opened other than by Spark.
+    """
+    schema = "path string, stream_id long, x0 double, y0 double, x1 double, y1 double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                records = geojson_parts(data) if is_geojson(name) else shapefile_parts(data)
-                found = [np.column_stack([np.full(len(xy) - 1, number), xy[:-1], xy[1:]]) for number, parts in records for xy in parts if len(xy) > 1]
-                if found:
-                    out = pd.DataFrame(np.vstack(found), columns=["stream_id", "x0", "y0", "x1", "y1"]).astype({"stream_id": "int64"})
-                    out.insert(0, "path", name)
-                    yield out
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                data = content.as_py()
+                yield from pieces_of(name, geojson_parts(data) if is_geojson(name) else shapefile_parts(data))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, stream_id long, x0 double, y0 double, x1 double, y1 double")
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                yield pd.DataFrame([(name, *x) for x in record_spans(name, SPAN)], columns=["path", "start", "size", "first"])
+
+    def run_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                with open_input(x["path"]) as file:
+                    file.seek(x["start"])
+                    data = file.read(x["size"])
+                yield from pieces_of(x["path"], record_parts(data, 0, x["first"], len(data)))
+
+    files = spark.read.format("binaryFile").load(path)
+    long = files.where(F.col("length") >= large).select("path", "length").collect()  # a row for each large file
+    if not long or any(is_geojson(x.path) or not can_open(x.path) for x in long):
+        return files.select("path", "content").mapInArrow(run, schema)
+    cut = files.where(F.col("length") >= large).select("path").mapInPandas(spans, "path string, start long, size long, first long")
+    cut = cut.repartition(1 + sum(x.length for x in long) // SPAN, F.col("path"), F.col("start"))  # rows so small would come together in one task
+    rest = files.where(F.col("length") < large).select("path", "content")  # by length files are left out unread
+    return cut.mapInArrow(run_spans, schema).unionByName(rest.mapInArrow(run, schema))
 
 
 def table_fields(data: bytes) -> list[tuple[str, str, int, int]]:
@@ -207,34 +288,39 @@ def table_cell(value, kind: str) -> bytes:
     return text.ljust(width) if letter == b"C" else text.rjust(width)
 
 
-def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fields: list[tuple[str, str]] | None = None, projection: str | None = None) -> None:
+def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fields: list[tuple[str, str]] | None = None, projection: str | None = None, told: DataFrame | None = None) -> None:
     """Write ``(label, columns, rings)`` to ``<path>.shp``, ``.shx``, ``.dbf`` and, if known, ``.prj``, a record for each row.
 
     ``rings`` holds arrays of ``(r, c)`` corners; ``path`` lacks its suffix; ``fields`` are the columns and their names in the table.
+    Where an area has many records, ``told`` holds them as ``(label, columns)``, and ``rings`` a row for each of their areas.
     """
     x0, dx, _, y0, _, dy = transform
     fields = fields or [("value", "Value"), ("stream_id", "index_right")]
-    types = dict(rings.dtypes)
+    told, rings = (rings, rings.select("label", "rings").dropDuplicates(["label"])) if told is None else (told, rings)
+    types = dict(told.dtypes)
     kinds = [types[c] if types[c] in KINDS else "string" for c, _ in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for label, cells, lengths, r, c in zip(batch["label"], batch["cells"], batch["lengths"], batch["r"], batch["c"]):
+            for label, lengths, r, c in zip(batch["label"], batch["lengths"], batch["r"], batch["c"]):
                 points = np.column_stack([x0 + dx * c, y0 + dy * r]).astype("<f8")
                 box = [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()]
                 starts = np.cumsum([0, *lengths[:-1]]).astype("<i4")
                 data = struct.pack("<i4d2i", POLYGONS[0], *box, len(lengths), len(points)) + starts.tobytes() + points.tobytes()
-                row = b" " + b"".join(table_cell(cells[f"f{i}"], kind) for i, kind in enumerate(kinds))
-                out.append((label, len(data), data, row, *box))
-            yield pd.DataFrame(out, columns=["label", "size", "data", "row", "x_min", "y_min", "x_max", "y_max"])
+                yield pd.DataFrame([(label, len(data), data, *box)], columns=["label", "size", "data", "x_min", "y_min", "x_max", "y_max"])
+
+    def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"label": batch["label"], "row": [b" " + b"".join(table_cell(cells[f"f{i}"], kind) for i, kind in enumerate(kinds)) for cells in batch["cells"]]})
 
     # plain lists: rings of unequal lengths make no array of arrays
     corners = F.flatten("rings")
     flat = F.transform("rings", lambda x: F.size(x)).alias("lengths"), corners["r"].alias("r"), corners["c"].alias("c")
-    asked = rings.select("label", F.struct(*[F.col(c).cast(kind).alias(f"f{i}") for i, ((c, _), kind) in enumerate(zip(fields, kinds))]).alias("cells"), *flat)
-    records = written(asked.mapInPandas(run, "label long, size long, data binary, row binary, x_min double, y_min double, x_max double, y_max double"), "polygons")
-    n, total, *box = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), *[F.coalesce(f(c), F.lit(0.0)) for f, c in ((F.min, "x_min"), (F.min, "y_min"), (F.max, "x_max"), (F.max, "y_max"))]).first()
+    asked = told.select("label", F.struct(*[F.col(c).cast(kind).alias(f"f{i}") for i, ((c, _), kind) in enumerate(zip(fields, kinds))]).alias("cells"))
+    rows = written(asked.mapInPandas(run_rows, "label long, row binary"), "rows")
+    shapes = written(rings.select("label", *flat).mapInPandas(run, "label long, size long, data binary, x_min double, y_min double, x_max double, y_max double"), "polygons")
+    shapes = shapes.join(shuffled(rows.groupBy("label").agg(F.count("*").alias("n"))), "label")
+    n, total, *box = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)), *[F.coalesce(f(c), F.lit(0.0)) for f, c in ((F.min, "x_min"), (F.min, "y_min"), (F.max, "x_max"), (F.max, "y_max"))]).first()
     if 100 + 8 * n + total >= 2**31:
         raise ValueError("a shapefile holds 2 GB at most; keep such areas as tables")
 
@@ -247,11 +333,18 @@ def write_polygons(rings: DataFrame, path: str, transform: tuple[float, ...], fi
         shp.write(head(100 + 8 * n + total))
         shx.write(head(100 + 8 * n))
         dbf.write(struct.pack("<4BIHH20x", 3, 100, 1, 1, n, 33 + len(columns), 1 + sum(KINDS[k][1] for k in kinds)) + columns + b"\r")
-        for i, x in enumerate(records.orderBy("label", "row").toLocalIterator()):
-            shp.write(struct.pack(">2i", i + 1, x.size // 2) + bytes(x.data))
-            shx.write(struct.pack(">2i", at // 2, x.size // 2))
-            dbf.write(bytes(x.row))
-            at += 8 + x.size
+        i, table = 0, rows.orderBy("label", "row").toLocalIterator()
+        for x in shapes.orderBy("label").toLocalIterator():
+            data = bytes(x.data)
+            for row in islice(table, x.n):
+                if row.label != x.label:
+                    raise ValueError("a record's area has no rings")
+                i += 1
+                shp.write(struct.pack(">2i", i, x.size // 2))
+                shp.write(data)
+                shx.write(struct.pack(">2i", at // 2, x.size // 2))
+                dbf.write(bytes(row.row))
+                at += 8 + x.size
         dbf.write(b"\x1a")
     if projection:
         with open_output(path + ".prj") as prj:

@@ -222,3 +222,41 @@ def test_polygons_with_holes_of_other_lengths(spark, tmp_path):
     pieces = vector.read_segments(spark, str(tmp_path / "flood.shp")).collect()
     assert -sum((s.x0 * s.y1 - s.x1 * s.y0) / 2 for s in pieces) == 100 * len(cells)
     assert {s.stream_id for s in pieces} == {0} and max(s.x1 for s in pieces) == 1070.0 and min(s.y1 for s in pieces) == 4940.0
+
+
+def test_large_shapefiles_are_read_in_spans(spark, tmp_path, monkeypatch):
+    """Each span holds whole records; numbers, parts and all pieces are those of a reading at once."""
+    rng = np.random.default_rng(3)
+    shapefile(tmp_path / "lines.shp", [rng.normal(size=(int(n), 2)).tolist() for n in rng.integers(2, 90, 200)])
+    cells = spark.createDataFrame([(i, 2 * j, 1, j) for i in range(4) for j in range(50)], "r int, c int, value int, label long")
+    vector.write_polygons(outlines.outlines(cells).withColumn("stream_id", F.lit(1)), str(tmp_path / "areas"), PLACE)
+    for name, n in (("lines", 200), ("areas", 50)):
+        path = str(tmp_path / f"{name}.shp")
+        size = (tmp_path / f"{name}.shp").stat().st_size
+        spans = list(vector.record_spans("file:" + path, 1000))
+        assert len(spans) > 3 and spans[0][::2] == (100, 0) and sum(x[1] for x in spans) == size - 100
+        assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:])) and sum(x[1] for x in vector.record_spans("file:" + path, size)) == size - 100
+        monkeypatch.setattr(vector, "SPAN", 1000)
+        monkeypatch.setattr(vector, "PIECES", 50)
+        asked = lambda large: sorted(tuple(x) for x in vector.read_segments(spark, path, large).collect())
+        assert asked(1) == asked(1 << 30) and len({x[1] for x in asked(1)}) == n
+        batches = list(vector.pieces_of(f"file:{path}", vector.shapefile_parts((tmp_path / f"{name}.shp").read_bytes())))
+        assert len(batches) > 3 and sorted(tuple(x.values()) for b in batches for x in b.to_pylist()) == asked(1 << 30)
+        monkeypatch.undo()
+    assert not vector.can_open("viewfs://store/a.shp")
+
+
+def test_records_of_one_area_share_its_rings(spark, tmp_path):
+    """A shape is sent once, whatever the number of its records; each record still holds all of it."""
+    rings = outlines.outlines(spark.createDataFrame([(0, 0, 5, 0), (0, 1, 5, 0), (7, 7, 6, 9), (3, 3, 7, 4)], "r int, c int, value int, label long"))
+    told = spark.createDataFrame([(9, 6, 1)] + [(0, 5, i) for i in range(300)], "label long, value int, stream_id long")
+    vector.write_polygons(rings.select("label", "rings"), str(tmp_path / "flood"), PLACE, told=told)
+    vector.write_polygons(rings.select("label", "rings").join(told, "label"), str(tmp_path / "plain"), PLACE)
+    for end in ("shp", "shx", "dbf"):
+        assert (tmp_path / f"flood.{end}").read_bytes() == (tmp_path / f"plain.{end}").read_bytes()
+    area = vector.read_segments(spark, str(tmp_path / "flood.shp")).groupBy("stream_id").agg((F.sum(F.expr("x1 * y0 - x0 * y1")) / 200).alias("n"))
+    assert sorted(x.n for x in area.collect()) == [1.0] + [2.0] * 300
+    table, names = vector.read_attributes(spark, str(tmp_path / "flood.shp"))
+    assert sorted((int(x.a0), int(x.a1)) for x in table.collect()) == [(5, i) for i in range(300)] + [(6, 1)]
+    with pytest.raises(ValueError, match="no rings"):
+        vector.write_polygons(rings.where("label = 0").select("label", "rings"), str(tmp_path / "other"), PLACE, told=spark.createDataFrame([(0, 5, 1), (-3, 5, 1)], "label long, value int, stream_id long"))
